@@ -23,15 +23,16 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+_BASES = (_BASE, 0xD6E8FEB86659FD93 | 1)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n; grown on demand, once in a process."""
-    if not _powers or len(_powers["up"]) <= n:
+    if which not in _powers or len(_powers[which][0]) <= n:
         size = max(n + 1, BLOCK_BYTES * 2)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, base in (("up", _BASE), ("down", inverse)):
+        tables = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             table = np.ones(size, dtype=np.uint64)
             done = 1
             while done < size:
@@ -39,8 +40,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
                 more = min(done, size - done)
                 table[done : done + more] = table[:more] * step
                 done += more
-            _powers[key] = table
-    return _powers["up"], _powers["down"]
+            tables.append(table)
+        _powers[which] = (tables[0], tables[1])
+    return _powers[which]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -60,6 +62,7 @@ class TextBlock:
         self.data = data
         self.offsets = offsets
         self.n_docs = len(offsets) - 1
+        self._sums: dict[int, np.ndarray] = {}
 
     def lowered(self) -> TextBlock:
         return TextBlock(_LOWER[self.data], self.offsets)
@@ -89,14 +92,26 @@ class TextBlock:
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte spans."""
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """64-bit hashes of the byte spans; `which` (0 or 1) picks one of two independent functions."""
         n = len(self.data)
-        up, down = _power_tables(n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        up, down = _power_tables(n, which)
+        sums = self._sums.get(which)
+        if sums is None:
+            sums = self._sums[which] = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
+    def line_bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends (without the \\n) of the lines, and for each document the index of its first line; an empty document has one line."""
+        breaks = self.data == 10
+        at = np.flatnonzero(breaks)
+        starts = np.sort(np.concatenate([self.offsets[:-1], at + 1]), kind="stable")
+        ends = np.sort(np.concatenate([self.offsets[1:], at]), kind="stable")
+        first = np.zeros(self.n_docs + 1, dtype=np.int64)
+        np.cumsum(self.per_doc(breaks) + 1, out=first[1:])
+        return starts, ends, first
+
 
 _PLACE = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
