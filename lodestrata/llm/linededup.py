@@ -202,39 +202,38 @@ class LineIndex:
         return lost.groupBy("id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The documents' columns with `text_col` as it is kept (null: empty), and n_lines, n_dropped."""
+        """The documents' columns with `text_col` as it is kept (null: empty), and n_lines, n_dropped in place of columns of these names."""
         min_chars = self.min_chars
-        columns = docs.columns
-        drops = self.drops().select(F.col("id").alias("__id"), F.col("keys").alias("__keys"))
-        # The small side is hashed, so the texts are not sorted.
-        joined = docs.join(drops.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left").drop("__id")
-        place = columns.index(text_col)
-        out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+        columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+        place, n = columns.index(text_col), len(columns)
+        own = docs.select(*columns)
+        drops = self.drops()
+        # By position, so that no name of theirs can clash. The small side is hashed, so the texts are not sorted.
+        numbered = own.toDF(*(f"c{i}" for i in range(n)))
+        joined = numbered.join(drops.hint("shuffle_hash"), F.col(f"c{columns.index(id_col)}") == F.col("id"), "left").drop("id")
+        out = T.StructType([*numbered.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, marked = batch.column(place).fill_null(""), batch.column(len(columns))
+                texts, marked = batch.column(place).fill_null(""), batch.column(n)
                 lines = pa.compute.add(pa.compute.count_substring(texts, "\n"), 1).cast(pa.int64())
                 dropped = np.zeros(batch.num_rows, dtype=np.int64)
                 rows = np.flatnonzero(marked.is_valid().to_numpy(zero_copy_only=False))
                 if len(rows):
-                    kept = {}
-                    some = texts.take(pa.array(rows))
-                    for start, end, block in blocks(some):
+                    kept = []
+                    for start, end, block in blocks(texts.take(pa.array(rows))):
                         keys, raw = line_keys(block, min_chars), block.data.tobytes()
                         for i in range(start, end):
                             gone = {(k["k1"], k["k2"]) for k in marked[int(rows[i])].as_py()}
                             span = range(keys.first[i - start], keys.first[i - start + 1])
                             stay = [j for j in span if not (keys.long[j] and (int(keys.k1[j]), int(keys.k2[j])) in gone)]
                             dropped[rows[i]] = len(span) - len(stay)
-                            kept[int(rows[i])] = b"\n".join(raw[keys.starts[j] : keys.ends[j]] for j in stay).decode("utf-8")
-                    texts = pa.compute.replace_with_mask(texts, marked.is_valid(), pa.array([kept[int(r)] for r in rows], texts.type))
-                held = [texts if i == place else c for i, c in enumerate(batch.columns[: len(columns)])]
+                            kept.append(b"\n".join(raw[keys.starts[j] : keys.ends[j]] for j in stay).decode("utf-8"))
+                    texts = pa.compute.replace_with_mask(texts, marked.is_valid(), pa.array(kept, texts.type))
+                held = [texts if i == place else c for i, c in enumerate(batch.columns[:n])]
                 yield pa.RecordBatch.from_arrays([*held, lines, pa.array(dropped)], names=out.names)
 
-        if clash := {"n_lines", "n_dropped", "__id", "__keys"} & {c.lower() for c in columns}:
-            raise ValueError(f"columns {sorted(clash)} are there already; leave them out")
-        return joined.mapInArrow(run, out)
+        return joined.mapInArrow(run, out).toDF(*columns, "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -187,3 +187,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that `near_duplicates` does not keep; of each group the smallest id stays."""
+    found = near_duplicates(docs, id_col, text_col)
+    gone = materialize(found.where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[id_col] == F.col("gone_id"), "left_anti")

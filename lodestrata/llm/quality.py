@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def judge(docs: DataFrame, trees: Trees | None, text_col: str = "text", keep_from: float = KEEP_FROM, only_kept: bool = False, pass_columns: list[str] | None = None) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept to `pass_columns`.
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept to `pass_columns`, in place of columns of these names.
 
     base_failed: fewer than MIN_WORDS words, or 100 * n_repeat_words > REPEAT_PERCENT * n_words. kept: not
     base_failed and the trees' probability is `keep_from` or more (1 without trees). With `only_kept`, the kept
@@ -222,36 +222,32 @@ def judge(docs: DataFrame, trees: Trees | None, text_col: str = "text", keep_fro
     base rules. Rows are independent: repeated rows get repeated results; an empty table gives an empty one.
     One narrow pass; only the flat trees are broadcast.
     """
+    added = [*(T.StructField(b, T.LongType()) for b in BASE), T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     columns = pass_columns if pass_columns is not None else docs.columns
-    shipped = docs.sparkSession.sparkContext.broadcast(trees)
-    own = docs.select(*columns)
-    names = [*own.columns]
-    fields = list(own.schema.fields)
     if not only_kept:
-        added = [T.StructField(b, T.LongType()) for b in BASE]
-        added += [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-        if clash := {f.name.lower() for f in added} & {n.lower() for n in names}:
-            raise ValueError(f"columns {sorted(clash)} are there already; leave them out of pass_columns")
-        fields += added
-        names += [f.name for f in added]
-    n_own = len(own.columns)
+        columns = [c for c in columns if c.lower() not in {f.name for f in added}]
+    n = len(columns)
+    shipped = docs.sparkSession.sparkContext.broadcast(trees)
+    # By position, so that no name can clash.
+    numbered = docs.select(*columns, text_col).toDF(*(f"c{i}" for i in range(n)), "text")
+    out = T.StructType([*numbered.schema.fields[:n], *([] if only_kept else added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shipped.value
         for batch in batches:
-            for start, end, block in blocks(batch.column(n_own)):
+            for start, end, block in blocks(batch.column(n)):
                 base, features = statistics(block)
                 failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > REPEAT_PERCENT * base[:, 0])
                 score = trees.probability(features) if trees is not None else np.ones(len(base))
                 kept = ~failed & (score >= keep_from)
                 part = batch.slice(start, end - start)
                 if only_kept:
-                    yield pa.RecordBatch.from_arrays(part.columns[:n_own], names=names).filter(pa.array(kept))
+                    yield pa.RecordBatch.from_arrays(part.columns[:n], names=out.names).filter(pa.array(kept))
                 else:
                     new = [pa.array(base[:, j]) for j in range(len(BASE))] + [pa.array(failed), pa.array(score), pa.array(kept)]
-                    yield pa.RecordBatch.from_arrays(part.columns[:n_own] + new, names=names)
+                    yield pa.RecordBatch.from_arrays(part.columns[:n] + new, names=out.names)
 
-    return docs.select(*(F.col(c) for c in columns), F.col(text_col).alias("__text")).mapInArrow(run, T.StructType(fields))
+    return numbered.mapInArrow(run, out).toDF(*columns, *(f.name for f in out.fields[n:]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

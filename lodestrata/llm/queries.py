@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, minmax, quality, secrets, urlfilter, wordpiece
+from . import bpe, linededup, minmax, mixing, quality, secrets, urlfilter, wordpiece
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -46,11 +46,13 @@ def op4_columns(docs: DataFrame) -> DataFrame:
     def joined(spans: F.Column) -> F.Column:
         return F.concat_ws(",", F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))))
 
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = [r.kind for r in secrets.BASE_RULES]
     found = secrets.scan_secrets(docs)
-    count = {k: F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in base}
     base_spans = F.filter("findings", lambda f: f["kind"].isin(*base))
-    return found.select("doc_id", *count.values(), F.sha2(joined(base_spans), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    return found.select("doc_id", *map(count, base), F.sha2(joined(base_spans), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(bpe.read_vocabulary(VOCABULARY))
     return wordpiece.count_pieces(_table(spark, sf_dir, "documents"), *wordpiece.split_vocabulary(ranks))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_source_mix": op7_source_mix,
     "op9_token_counts": op9_token_counts,
     "op10_minmax_dedup": op10_minmax_dedup,
 }
