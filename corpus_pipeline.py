@@ -1,10 +1,64 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing, byte-level BPE."""
-STAGES = []
+"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing of sources, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; the last returns token ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import bpe, linededup, minmax, mixing, quality
+from lodestrata.llm.queries import VOCABULARY
+from lodestrata.llm.shared import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the boosted trees keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(docs, quality.fit(docs, labels), only_kept=True)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that a document of larger id holds too; n_chars follows the text."""
+    kept = linededup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minmax.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, with digests of them and of the decoded bytes."""
+    return bpe.encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mix sources", mix_sources),
+    ("byte bpe", encode),
+]
+
+#: Boosted trees, hash-keyed sampling and BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs
