@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, minmax, mixing, quality, secrets, urlfilter, wordpiece
+from . import bpe, hmm, linededup, minmax, mixing, quality, secrets, urlfilter, wordpiece
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -67,6 +67,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return hmm.score_documents(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(bpe.read_vocabulary(VOCABULARY))
     return wordpiece.count_pieces(_table(spark, sf_dir, "documents"), *wordpiece.split_vocabulary(ranks))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_hmm_score": op8_hmm_score,
     "op9_token_counts": op9_token_counts,
     "op10_minmax_dedup": op10_minmax_dedup,
 }
