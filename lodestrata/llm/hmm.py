@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize
+from .shared import hash_sample, materialize
 from .textblock import blocks
 
 STATES = 6
@@ -160,7 +160,7 @@ def _classes_of_batch(texts: pa.Array, classes: int) -> tuple[list[np.ndarray],
 
 def _start_model(train: DataFrame, states: int, classes: int) -> Hmm:
     """Baum-Welch on the START_TEXTS training texts of least hash, from random emissions."""
-    ids = train.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(START_TEXTS)
+    ids = hash_sample(train.select("id").where("id IS NOT NULL").distinct(), "id", START_TEXTS)
     sample = train.join(F.broadcast(ids), "id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

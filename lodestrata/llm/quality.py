@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import hash_sample
 from .textblock import TextBlock, blocks, mix64, windows
 
 #: The classifier is fitted on at most this many labelled documents, those of least hash of doc_id.
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts, and its features (no texts) are gathered to fit.
     """
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("good"))
-    sample = sample.select(F.col(id_col).alias("label_id"), (F.col("good") > 0).cast("double").alias("good")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
+    sample = hash_sample(sample.select(F.col(id_col).alias("label_id"), (F.col("good") > 0).cast("double").alias("good")), "label_id", max_rows)
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id").select(F.struct("label_id", "good").alias("row"), "text")
     schema = T.StructType([texts.schema["row"], T.StructField("features", T.ArrayType(T.DoubleType()))])
     found = texts.mapInArrow(_features, schema).groupBy("row").agg(F.min("features").alias("features"))  # one of repeated rows

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hash_sample(df: DataFrame, key: str, most: int, n: int | None = None) -> DataFrame:
+    """At most `most` rows of `df`, those of least hash of `key`, the same in every run.
+
+    A threshold on the hash first leaves about twice as many, so ordering them is cheap at any size of `df`.
+    """
+    n = df.count() if n is None else n
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if n > 2 * most:
+        df = df.where(draw < int((1 << 40) * 2 * most / n))
+    return df.orderBy(draw, key).limit(most)
