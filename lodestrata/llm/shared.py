@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +46,18 @@ def hash_sample(df: DataFrame, key: str, most: int, n: int | None = None) -> Dat
     if n > 2 * most:
         df = df.where(draw < int((1 << 40) * 2 * most / n))
     return df.orderBy(draw, key).limit(most)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context, so that Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestrata_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    if top.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="lodestrata-"), "lodestrata.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(top.rglob("*.py")):
+                out.write(file, file.relative_to(top.parent))
+        context.addPyFile(str(archive))
+    context._lodestrata_shipped = True
