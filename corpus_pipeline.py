@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, linededup, minmax, mixing, quality
 from lodestrata.llm.queries import VOCABULARY
-from lodestrata.llm.shared import materialize
+from lodestrata.llm.shared import materialize, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the boosted trees keep."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judge(docs, quality.fit(docs, labels), only_kept=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that a document of larger id holds too; n_chars follows the text."""
+    ship(spark)
     kept = linededup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -30,16 +32,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    ship(spark)
     return minmax.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    ship(spark)
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with digests of them and of the decoded bytes."""
+    ship(spark)
     return bpe.encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 
