@@ -27,10 +27,10 @@ TARGET_RECALL = 0.97
 #: Index rows and queries that meet in one task.
 CHUNK_ROWS = 8192
 CHUNK_QUERIES = 4096
-#: Strictness of the tests: a candidate is given up at odds of about exp(-EPSILON**2 / 2) to be wrong.
-EPSILON = 2.8
+#: Strictness of the tests, in standard deviations: one is wrong with a probability of about 0.001.
+DEVIATIONS = 3.0
 #: Ends of the column blocks, as shares of all dimensions.
-BLOCK_ENDS = (0.25, 0.5, 1.0)
+BLOCK_ENDS = (0.25, 0.5, 0.75, 1.0)
 _FIRST_ROWS = 256
 
 
@@ -111,8 +111,9 @@ def nearest_in_chunk(lists: Lists, ids: np.ndarray, vectors: np.ndarray, query_i
             partial = partial + ((rows - q[i, a:b]) ** 2).sum(axis=1)
             if tally is not None:
                 tally["values"] = tally.get("values", 0) + rows.size
-            # Of b dimensions out of all, partial * dims / b estimates the whole; its error falls as 1 / sqrt(b).
-            bound = limit if b == lists.dims else limit * b / lists.dims * (1 + EPSILON / np.sqrt(b)) ** 2
+            # After a random rotation the share of a distance in b of all dimensions is Beta distributed.
+            share = b / lists.dims
+            bound = limit * min(1.0, share + DEVIATIONS * np.sqrt(2 * share * (1 - share) / (lists.dims + 2)))
             stay = partial <= bound + 1e-9
             alive, partial = alive[stay], partial[stay]
         alive = np.concatenate([np.flatnonzero(first <= limit + 1e-9), alive])
@@ -161,9 +162,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     n_queries = placed.where("q").count()
     blocks = max(1, -(-n_queries // CHUNK_QUERIES))
     chunks = {c: -(-s // CHUNK_ROWS) for c, s in sizes.items()}
-    hashed = F.xxhash64("id")
-    of_list = F.create_map(*(F.lit(x) for c in chunks.items() for x in c)) if chunks else F.create_map(F.lit(0), F.lit(1))
-    index = placed.select("id", "v", "list", F.pmod(hashed, of_list[F.col("list")]).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    many = F.broadcast(spark.createDataFrame(list(chunks.items()), "list int, chunks int"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
+    index = placed.join(many, "list").select("id", "v", "list", chunk, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = lists.value, np.array([sizes.get(c, 0) for c in range(len(lists.value.centres))])
