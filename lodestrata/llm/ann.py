@@ -32,6 +32,7 @@ DEVIATIONS = 3.0
 #: Ends of the column blocks, as shares of all dimensions.
 BLOCK_ENDS = (0.25, 0.5, 0.75, 1.0)
 _FIRST_ROWS = 256
+_QUERY_STRIP = 64
 
 
 @dataclass(frozen=True)
@@ -99,25 +100,32 @@ def nearest_in_chunk(lists: Lists, ids: np.ndarray, vectors: np.ndarray, query_i
     ends = sorted({max(1, round(e * lists.dims)) for e in BLOCK_ENDS})
     starts = [0, *ends[:-1]]
     blocks = [np.ascontiguousarray(x[:, a:b]) for a, b in zip(starts, ends)]
+    squares = [(block**2).sum(axis=1) for block in blocks]
+    query_squares = [(q[:, a:b] ** 2).sum(axis=1) for a, b in zip(starts, ends)]
     norms = np.linalg.norm(vectors, axis=1)
+    head = min(_FIRST_ROWS, len(x))
+    # After a random rotation the share of a distance in b of all dimensions is Beta distributed.
+    shares = np.array(ends) / lists.dims
+    shares = np.minimum(1, shares + DEVIATIONS * np.sqrt(2 * shares * (1 - shares) / (lists.dims + 2)))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, query_id in enumerate(query_ids):
-        first = ((x[:_FIRST_ROWS] - q[i]) ** 2).sum(axis=1)
-        first[ids[:_FIRST_ROWS] == query_id] = np.inf
-        limit = np.partition(first, k - 1)[k - 1] if len(first) > k else np.inf
-        alive, partial = np.arange(len(first), len(x)), np.zeros(max(0, len(x) - len(first)))
-        for block, a, b in zip(blocks, starts, ends):
-            rows = block[alive] if len(alive) < len(x) - len(first) else block[len(first) :]
-            partial = partial + ((rows - q[i, a:b]) ** 2).sum(axis=1)
+        if i % _QUERY_STRIP == 0:
+            strip = slice(i, i + _QUERY_STRIP)
+            firsts = 2 - 2 * (q[strip] @ x[:head].T)
+            partials = squares[0][head:] + query_squares[0][strip, None] - 2 * (q[strip, : ends[0]] @ blocks[0][head:].T)
+        first = firsts[i % _QUERY_STRIP]
+        first[ids[:head] == query_id] = np.inf
+        limit = np.partition(first, k - 1)[k - 1] if head > k else np.inf
+        alive, partial = np.arange(head, len(x)), partials[i % _QUERY_STRIP]
+        for j, share in enumerate(shares):
+            if j:
+                partial = partial + squares[j][alive] + query_squares[j][i] - 2 * (blocks[j][alive] @ q[i, starts[j] : ends[j]])
             if tally is not None:
-                tally["values"] = tally.get("values", 0) + rows.size
-            # After a random rotation the share of a distance in b of all dimensions is Beta distributed.
-            share = b / lists.dims
-            bound = limit * min(1.0, share + DEVIATIONS * np.sqrt(2 * share * (1 - share) / (lists.dims + 2)))
-            stay = partial <= bound + 1e-9
+                tally["values"] = tally.get("values", 0) + len(alive) * (ends[j] - starts[j])
+            stay = partial <= limit * share + 1e-9
             alive, partial = alive[stay], partial[stay]
-        alive = np.concatenate([np.flatnonzero(first <= limit + 1e-9), alive])
-        distance = np.concatenate([first[first <= limit + 1e-9], partial])
+        close = np.flatnonzero(first <= limit + 1e-9)
+        alive, distance = np.concatenate([close, alive]), np.concatenate([first[close], partial])
         own = ids[alive] != query_id
         alive, distance = alive[own], distance[own]
         if len(alive) > k:
