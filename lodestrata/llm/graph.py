@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def _open_nodes(edges: DataFrame) -> int:
+    """Nodes that keep the links (u, v) from being stars: with several v, or a v somewhere and a u elsewhere."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if(F.expr("up > 1 OR up > 0 AND down > 0"))).first()[0]
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """Links (u, v) to (id, component): every linked id with the smallest id it reaches.
 
-    Large-star and small-star steps by turns until nothing changes, which takes about log(n) rounds and
+    Large-star and small-star steps by turns until all links form stars, which takes about log(n) rounds and
     keeps at most as many rows as there are links. Hot ids are pre-aggregated (min) before the shuffle, and
     the joins back to their links are plain equi-joins that adaptive execution can split. Every round is
     written to the shared folder, so a lost executor costs one round at most. Self-links and repeated links
@@ -23,18 +26,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     edges = materialize(edges, "links")
-    before = _state(edges)
-    while before[0]:
+    while _open_nodes(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
+        edges = materialize(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
