@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,12 @@ PERCENT = 75
 #: 64 permutations, 128 values, 32 bands of 4: a pair at 0.75 shares no band with a probability of 5e-6.
 PERMUTATIONS = 64
 ROWS = 4
-#: Members of a band's bucket up to which all its pairs across components are compared; larger ones are split by a second band.
-SMALL_BUCKET = 64
+#: Members of a band's bucket up to which its pairs across components are listed; larger ones are compared in blocks.
+SMALL_BUCKET = 24
+BLOCK_DOCS = 256
+#: Turns of comparing with random members, at most, and the pairs left for each member of open buckets at which they end.
+MAX_TURNS = 8
+FEW_PAIRS = 2
 #: Ids that may be broadcast (8 MB of ids); beyond that, texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -36,6 +41,7 @@ _XOR = (_SEEDS[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32)[:, None]
 _MULTIPLY = ((_SEEDS[PERMUTATIONS:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
 _BAND_PLACE = mix64(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _STRIP = 2048
+_COLUMNS = 4096
 N_BANDS = 2 * PERMUTATIONS // ROWS
 
 
@@ -114,8 +120,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (u, v), those linked on their full sets; `docs` has one text for each id (id, text)."""
     pairs = materialize(pairs.distinct(), "pairs")
-    needed = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "needed")
-    bounded = needed.count() <= BROADCAST_IDS
+    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    bounded = 2 * pairs.count() <= BROADCAST_IDS or needed.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(needed) if bounded else needed, "id", "left_semi")
     texts = materialize(texts, "texts")
     with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("v_text")), "v")
@@ -125,17 +131,106 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(links, "links")
 
 
+def _fits(left: str, right: str) -> str:
+    """Whether the two sizes allow a link."""
+    return f"100 * least({left}, {right}) >= {PERCENT} * greatest({left}, {right})"
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs of a bucket's members in different components, if their sizes allow a link."""
     left, right = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component"))) for s in ("l", "r"))
-    fits = f"id_l < id_r AND component_l <> component_r AND 100 * least(n_l, n_r) >= {PERCENT} * greatest(n_l, n_r)"
+    fits = f"id_l < id_r AND component_l <> component_r AND {_fits('n_l', 'n_r')}"
     return left.join(right, "bucket").where(fits).select(F.col("id_l").alias("u"), F.col("id_r").alias("v")).distinct()
 
 
-def _open_buckets(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, id, n, component) of the buckets that hold several components, with the bucket's size c."""
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    return rows.join(mixed.select("bucket", "c"), "bucket")
+def _open_buckets(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows (bucket, id, n) with their component, of the buckets that hold several; c is the bucket's size."""
+    placed = rows.join(components, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    return materialize(placed.join(mixed.select("bucket", "c"), "bucket"), "open")
+
+
+def _star(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's members with one of them, another one in every turn, across components."""
+    draw = F.xxhash64("id", F.lit(turn))
+    hub = rows.groupBy("bucket").agg(*(F.min_by(c, draw).alias(f"{c}_h") for c in ("id", "n", "component")))
+    pairs = rows.join(hub, "bucket").where(f"component <> component_h AND {_fits('n', 'n_h')}")
+    return pairs.select(F.least("id", "id_h").alias("u"), F.greatest("id", "id_h").alias("v")).distinct()
+
+
+def _left_to_compare(rows: DataFrame) -> tuple[int, int]:
+    """Members of open buckets, and pairs of them across components."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    found = sizes.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("mm"))).first()
+    return found[0] or 0, (found[1] or 0) // 2
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, end, block in blocks(batch.column(1)):
+            hashes, pointer = document_shingles(block)
+            sets = [np.unique(hashes[pointer[i] : pointer[i + 1]]) for i in range(end - start)]
+            bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "s"])
+
+
+def common_sizes(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of sets[:split] with sets[split:], by products of strips of their shared columns."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((split, len(sets) - split), dtype=np.float32)
+    for low in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [low, low + _COLUMNS])
+        strip = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        strip[owner[a:b], column[a:b] - low] = 1
+        out += strip[:split] @ strip[split:].T
+    return out.astype(np.int64)
+
+
+def _block_links(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between the components of two blocks of a cluster (of one, if they are the same), whole."""
+    first, second = key[1].as_py(), key[2].as_py()
+    table = table.take(pa.compute.sort_indices(table, [("side", "ascending")]))
+    side, component = table.column("side").to_numpy(), table.column("component").to_numpy()
+    lists = table.column("s").combine_chunks()
+    sets = [lists[i].values.to_numpy() for i in range(len(lists))]
+    split, ids = int((side == first).sum()), table.column("id").to_numpy()
+    if first == second:
+        sets, component, ids = sets * 2, np.tile(component, 2), np.tile(ids, 2)
+    if not 0 < split < len(sets):
+        return pa.table({"u": ids[:0], "v": ids[:0]})
+    sizes, common = np.array([len(x) for x in sets]), common_sizes(sets, split)
+    union = sizes[:split, None] + sizes[None, split:] - common
+    u, v = np.nonzero((100 * common >= PERCENT * union) & (component[:split, None] != component[None, split:]))
+    return pa.table({"u": np.minimum(ids[u], ids[split + v]), "v": np.maximum(ids[u], ids[split + v])})
+
+
+def _links_in_clusters(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links across components inside clusters: documents that meet in large open buckets, in one step or several.
+
+    A cluster is cut into blocks by hash, and each pair of blocks is a task of bounded size that compares whole sets
+    and returns links only.
+    """
+    kind = large.schema["id"].dataType
+    hub = large.groupBy("bucket").agg(F.min("id").alias("hub"))
+    clusters = connected_components(large.join(hub, "bucket").select(F.col("id").alias("u"), F.col("hub").alias("v")))
+    placed = materialize(large.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id"), "clusters")
+    sized = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("k"))
+    blocked = placed.join(sized, "cluster").withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    blocked = blocked.select("id", "component", "cluster", "side", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    blocked = blocked.select("*", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"))
+    needed = F.broadcast(placed.select("id")) if placed.count() <= BROADCAST_IDS else placed.select("id")
+    held = texts.join(needed, "id", "left_semi").mapInArrow(_sets, T.StructType([T.StructField("id", kind), T.StructField("s", T.ArrayType(T.LongType()))]))
+    held = materialize(held.dropDuplicates(["id"]), "cluster-sets")
+    pairs = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    found = blocked.join(held, "id").select("cluster", "b1", "b2", "side", "id", "component", "s").groupBy("cluster", "b1", "b2").applyInArrow(_block_links, pairs)
+    return materialize(found.distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,10 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read; an empty table gives an empty one.
 
     Documents of equal sets collapse to the smallest id first (partial min before the shuffle), so a group of
-    copies costs one signature. In each band's bucket every member is compared with the smallest id only;
-    after components are formed, only buckets that still hold several components have their remaining pairs
-    across components compared, the large ones split by a second shared band. So a group of near copies
-    costs links in proportion to its size, and no pair of different components is skipped.
+    copies costs one signature. Every member of a band's bucket is first compared with one other member of
+    one of its buckets; components are formed, and while buckets hold several of them and many pairs are left,
+    their members are compared with one random member of another component, and components are formed again.
+    Then all pairs across components are compared: those of small buckets one by one, and what meets in large
+    buckets in blocks that return links only. So a group of near copies costs rows in proportion to its size,
+    and no pair that could be linked is skipped.
     """
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -168,18 +265,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(posted.join(shared.select("bucket", "pivot"), "bucket"), "members")
 
     texts = source.where("id IS NOT NULL")
-    star = members.where("id > pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
-    links = _confirmed(star, texts)
+    tried = materialize(members.where("id > pivot").groupBy("id").agg(F.min("pivot").alias("u")).select("u", F.col("id").alias("v")), "tried")
+    links = _confirmed(tried, texts)
     components = materialize(connected_components(links), "components")
-
-    placed = members.join(components, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    rows = materialize(_open_buckets(placed), "open")
-    large = rows.where(f"c > {SMALL_BUCKET}").select("bucket", "id", "n", "component")
-    second = large.join(reps.select("id", "bands"), "id").select("id", "n", "component", "bucket", F.explode("bands").alias("other"))
-    second = second.where("other <> bucket").select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "id", "n", "component").distinct()
-    rest = _across(rows.where(f"c <= {SMALL_BUCKET}")).union(_across(_open_buckets(second).drop("c")))
-    more = _confirmed(rest.join(star, ["u", "v"], "left_anti"), texts)
-    components = materialize(connected_components(links.union(more)), "components")
+    rows = _open_buckets(members.select("bucket", "id", "n"), components)
+    size, left = _left_to_compare(rows)
+    for turn in range(MAX_TURNS):
+        if not left or (turn and left <= FEW_PAIRS * size):
+            break
+        pairs = materialize(_star(rows, turn).join(tried, ["u", "v"], "left_anti"), "turn")
+        tried = tried.union(pairs)
+        links = links.union(_confirmed(pairs, texts))
+        components = materialize(connected_components(links), "components")
+        rows = _open_buckets(rows.select("bucket", "id", "n"), components)
+        before = left
+        size, left = _left_to_compare(rows)
+        if left > 0.9 * before:
+            break
+    if left:
+        large = rows.where(f"c > {SMALL_BUCKET}")
+        if large.limit(1).count():
+            links = links.union(_links_in_clusters(large, texts))
+        rest = _across(rows.where(f"c <= {SMALL_BUCKET}"))
+        links = links.union(_confirmed(rest.join(tried, ["u", "v"], "left_anti"), texts))
+        components = materialize(connected_components(links), "components")
 
     named = sets.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
