@@ -158,3 +158,35 @@ def classify_rerun(first: DataFrame, second: DataFrame, metric_deltas: DataFrame
     worst = metric_deltas.agg(F.coalesce(F.max(F.abs("delta")), F.lit(0.0)).alias("worst"))
     status = F.when((F.col("missing") == 0) & (F.col("added") == 0), "exact").when(F.col("worst") <= tolerance, "drift").otherwise("mismatch")
     return missing.crossJoin(added).crossJoin(worst).select(status.alias("classification"), "missing", "added", "worst")  # one row each
+
+
+#: Extension: for each hypothesis the ablation it is judged against, and the metrics in which the baseline must be better.
+HYPOTHESES = (
+    ("H1", "A1", ("node_coverage_ratio", "min_depth_coverage")),
+    ("H2", "A2", ("local_diversity",)),
+    ("H3", "A3", ("median_complexity",)),
+    ("H4", "A4", ("critic_agreement",)),
+)
+_QUALITY_BOUNDS = "critic_agreement >= 0.75 AND acceptance_rate >= 0.5 AND regen_burden <= 1.0"
+
+
+def hypotheses(metrics: DataFrame, run: str = "preset_id", baseline: str = "B0") -> DataFrame:
+    """Extension: hypothesis, ablation, accepted. A row for each hypothesis whose ablation was run.
+
+    The baseline must exceed the ablation in each of its metrics; H3 also wants the baseline within the quality bounds.
+    A null metric leaves the hypothesis open (null).
+    """
+    rows = F.array(*(F.struct(F.lit(h).alias("hypothesis"), F.lit(a).alias("ablation")) for h, a, _ in HYPOTHESES))
+    base = metrics.where(F.col(run) == baseline)
+    names = [c for c in metrics.columns if c != run]
+    base = base.select(*(F.col(c).alias(f"base_{c}") for c in names), F.expr(_QUALITY_BOUNDS).alias("bounded"))  # one row
+    paired = metrics.withColumn("h", F.explode(rows)).where(F.col(run) == F.col("h.ablation")).crossJoin(F.broadcast(base))
+    verdict = F.lit(None).cast("boolean")
+    for name, _, wanted in HYPOTHESES:
+        better = F.lit(True)
+        for metric in wanted:
+            better = better & ((F.col(f"base_{metric}") > F.col(metric)) if metric in names else F.lit(None).cast("boolean"))
+        if name == "H3":
+            better = better & F.col("bounded")
+        verdict = F.when(F.col("h.hypothesis") == name, better).otherwise(verdict)
+    return paired.select("h.hypothesis", "h.ablation", verdict.alias("accepted"))

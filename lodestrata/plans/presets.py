@@ -26,7 +26,7 @@ OWN = {
 EXTRA = {
     "A2": ("ablation-no-local-diversification", ["H2"], "local_diversification_enabled"),
     "A3": ("ablation-no-complexification", ["H3"], "complexification_enabled"),
-    "A5": ("ablation-no-critics", ["H4"], "dual_critic_enabled"),
+    "A5": ("ablation-reduced-critic-strictness", ["H4"], None),
 }
 
 
@@ -34,6 +34,8 @@ def _preset(tag: str, label: str, focus: list[str], off: str | None) -> dict[str
     switches: dict[str, Any] = {name: name != off for name in STAGE_SWITCHES}
     if tag == "A4":
         switches["single_critic_mode"] = "critic_a"
+    if tag == "A5":
+        switches["critic_strictness"] = "reduced"
     return {**deepcopy(SHARED), "baseline_or_ablation_tag": tag, "run_label": label, "hypothesis_focus": list(focus), "pipeline_config": switches}
 
 

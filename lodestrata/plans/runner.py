@@ -92,7 +92,8 @@ def plan(spark: SparkSession, objective: str, settings: Settings = Settings(), s
     samples = cx.complexify(dv.instantiations(marked), ["ord", "idx"], fraction, settings.semantic_threshold, settings.strategy)
     single = settings.switches.get("single_critic_mode")
     one = cr.hash_critic(single) if single else None
-    judged = cr.adjudicate(samples, settings.policy, critic_a=one, critic_b=one)
+    lenient = settings.switches.get("critic_strictness") == "reduced"
+    judged = cr.adjudicate(samples, cr.Policy("accept") if lenient else settings.policy, critic_a=one, critic_b=one)
     tables = {"nodes": nodes, "edges": tx.edges(nodes), "instantiations": dv.instantiations(marked), "rejections": dv.rejections(marked), "samples": samples, "judged": judged}
     policies = {
         "taxonomy": tx.policy(settings.max_depth, settings.branching_factor),

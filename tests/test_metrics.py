@@ -81,3 +81,10 @@ def test_reruns_and_splits(spark):
     assert mt.classify_rerun(a, a.limit(99), delta(-0.5)).first().classification == "mismatch"
     split = ds.with_split(a)
     assert 0 < split.where("split = 'evaluation'").count() < 30
+
+
+def test_hypotheses(spark):
+    columns = "preset_id string, node_coverage_ratio double, min_depth_coverage double, median_complexity double, critic_agreement double, acceptance_rate double, regen_burden double"
+    rows = [("B0", 0.9, 0.7, 0.9, 0.8, 0.6, 0.0), ("A1", 0.5, 0.7, 0.9, 0.8, 0.6, 0.0), ("A2", 0.9, 0.7, 0.9, 0.8, 0.6, 0.0), ("A3", 0.9, 0.7, 0.45, 0.8, 0.6, 0.0), ("A4", 0.9, 0.7, 0.9, 0.5, 0.6, 0.0)]
+    got = {r.hypothesis: r.accepted for r in mt.hypotheses(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {"H1": False, "H2": None, "H3": True, "H4": True}

@@ -79,7 +79,7 @@ def test_run_with_drift_probe_and_regeneration(spark, tmp_path):
 
 
 def test_switches_turn_stages_off(spark):
-    for preset_id, check in {"A1": lambda r: r.tables["nodes"].count() == 1, "A3": lambda r: r.tables["samples"].where("is_complexified").count() == 0, "A4": lambda r: r.tables["judged"].where("disagreement").count() == 0}.items():
+    for preset_id, check in {"A1": lambda r: r.tables["nodes"].count() == 1, "A3": lambda r: r.tables["samples"].where("is_complexified").count() == 0, "A4": lambda r: r.tables["judged"].where("disagreement").count() == 0, "A5": lambda r: r.tables["judged"].where("disagreement AND quality_status = 'rejected'").count() == 0}.items():
         request = presets.run_request(preset_id)
         run = runner.plan(spark, request["domain_objective"], runner.Settings(switches=request["pipeline_config"]), request["seed"], request["model_ids"])
         assert check(run), preset_id
