@@ -1,39 +1,15 @@
-"""Written intermediate tables in the folder that driver and executors share."""
+"""What the operators share: written tables, samples by hash, and shipping the package to executors."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lodestrata/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write `df` as Parquet in the shared folder and read it back.
-
-    The written table survives the loss of any executor, and unlike a checkpoint of rows it stays
-    column-pruned and compressed.
-    """
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodestrata.sources.checkpoints import fresh_dir, materialize, shared_dir  # noqa: F401
 
 
 def hash_sample(df: DataFrame, key: str, most: int, n: int | None = None) -> DataFrame:
