@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 #: Vocabulary files larger than this are refused: what is sent to every executor stays bounded.
 MAX_VOCABULARY_BYTES = 64 << 20
-CACHE_PIECES = 250_000
-CACHE_BORDERS = 600_000
+CACHE_PIECES = 160_000
+CACHE_BORDERS = 400_000
 CACHED_PIECE_CHARS = 64
 
 
