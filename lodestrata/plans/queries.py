@@ -324,7 +324,7 @@ def _corpus(spark, sf_dir):
     pairs = docs.select("lang", "source").distinct()
     levels = [spark.range(1).select(F.lit("corpus"), F.lit(0)), pairs.select("lang", F.lit(1)).distinct(), pairs.select(leaf, F.lit(2))]
     nodes = levels[0].union(levels[1]).union(levels[2]).toDF("taxonomy_node_id", "depth")
-    good = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0 AND doc_id % 3 = 0").select("doc_id")
+    good = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     return nodes, docs.join(good, "doc_id").select(leaf.alias("taxonomy_node_id"))
 
 
