@@ -14,6 +14,7 @@ from lodestrata.operators import datasets as ds
 from lodestrata.operators import diversify as dv
 from lodestrata.operators import elo
 from lodestrata.operators import metrics as mt
+from lodestrata.operators import overlap as ov
 from lodestrata.operators import taxonomy as tx
 
 from . import presets, runner, validate
@@ -90,9 +91,9 @@ _OVERLAP = "CASE WHEN least(len({0}), len({1})) = 0 THEN 0.0 ELSE len(list_inter
     SELECT doc_id, item_id, round({_OVERLAP.format('a', 'b')}, 9) AS overlap FROM d JOIN b ON item_id = doc_id % 40
 """)
 def token_overlap_pairs(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), tf.token_set(F.col("text")).alias("a"))
-    items = _table(spark, sf_dir, "benchmark").select("item_id", tf.token_set(F.col("text")).alias("b"))
-    return docs.join(items, "item_id").select("doc_id", "item_id", _round(tf.overlap(F.col("a"), F.col("b")), "overlap"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", tf.token_set(F.col("text")).alias("tokens"))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", tf.token_set(F.col("text")).alias("tokens"))
+    return _rounded(ov.overlap_pairs(docs, items, "doc_id", "item_id"))
 
 
 # ---- taxonomy and local diversification

@@ -1,7 +1,9 @@
+import re
 from collections import Counter
 
 import pytest
 
+from lodestrata.operators.overlap import overlap_pairs
 from lodestrata.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,27 @@ def test_every_good_document_is_accepted(spark):
     found = QUERIES["coverage_metrics"](spark, SF).first()
     assert (found.eligible_nodes, found.covered_nodes) == (total, len(leaves))
     assert found.node_coverage_ratio == pytest.approx(len(leaves) / total, abs=1e-9)
+
+
+def tokens(text):
+    return set(re.findall("[a-z0-9]+", (text or "").lower()))
+
+
+def brute_pairs(docs, items):
+    return {(d, i): round(len(a & b) / min(len(a), len(b)), 9) for d, a in docs.items() for i, b in items.items() if a & b}
+
+
+def test_every_document_meets_every_item(spark):
+    read = lambda name, key: {r[key]: tokens(r.text) for r in spark.read.parquet(f"{SF}/{name}.parquet").collect()}
+    rows = QUERIES["token_overlap_pairs"](spark, SF).collect()
+    assert {(r.doc_id, r.item_id): r.overlap for r in rows} == brute_pairs(read("documents", "doc_id"), read("benchmark", "item_id"))
+    assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("pass_tokens", [5, 10_000])
+def test_items_of_any_number_and_in_passes(spark, pass_tokens):
+    docs = {d: {f"t{(d * k) % 17}" for k in range(d % 6)} for d in range(30)}
+    items = {i: {f"t{(i + k) % 23}" for k in range(i % 4)} for i in range(90)}
+    table = lambda sets, key: spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], f"{key} long, tokens array<string>")
+    rows = overlap_pairs(table(docs, "doc_id"), table(items, "item_id"), "doc_id", "item_id", pass_tokens).collect()
+    assert {(r.doc_id, r.item_id): round(r.overlap, 9) for r in rows} == brute_pairs(docs, items)
