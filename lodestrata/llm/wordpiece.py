@@ -105,11 +105,17 @@ class LongestMatch:
 
 
 def split_vocabulary(tokens: Iterable[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Of a byte-level vocabulary: tokens after a leading space begin words, the others continue them."""
+    """Of a byte-level vocabulary: tokens after a leading space begin words, the others continue them.
+
+    Tokens that continue words also begin those that no token after a space begins. So no word is unknown if
+    the vocabulary has all bytes.
+    """
     initial, following = [], []
     for token in tokens:
         (initial if token.startswith(b" ") else following).append(token.removeprefix(b" "))
-    return initial, following
+    begun = set(initial) - {b""}
+    fallback = [token for token in following if not any(token[:n] in begun for n in range(1, len(token) + 1))]
+    return initial + fallback, following
 
 
 _automata: dict[str, LongestMatch] = {}

@@ -51,3 +51,19 @@ def test_too_many_pieces_are_refused(spark, monkeypatch):
     monkeypatch.setattr("lodestrata.llm.wordpiece.MAX_PIECES", 1)
     with pytest.raises(ValueError):
         count_pieces(spark.createDataFrame([], "doc_id long, text string"), [b"a"], [b"b"])
+
+
+def test_no_word_is_unknown_to_a_byte_level_vocabulary(spark):
+    ranks = set(load_ranks(read_vocabulary(VOCABULARY)))
+    initial, following = split_vocabulary(ranks)
+    spaced = {t[1:] for t in ranks if t.startswith(b" ")} - {b""}
+    rows = ["日本語の文章です。とても長い文章ですよ", "中文没有空格的长句子", "ภาษาไทยไม่มีช่องว่าง", "plain", "\u01c7"]
+    want = []
+    for text in rows:
+        word = text.encode()
+        begun = greedy(word, spaced, set(following))
+        want.append((text, 1, greedy(word, set(following), set(following)) if begun < 0 else begun, 0))
+    df = spark.createDataFrame([(t, t) for t in rows], "doc_id string, text string")
+    assert sorted(map(tuple, count_pieces(df, initial, following).collect())) == sorted(want)
+    automaton = LongestMatch(initial, following)
+    assert all(automaton.count(bytes([b])) == 1 for b in range(256) if b != 0x20) and automaton.count(rows[0].encode()) == 18
