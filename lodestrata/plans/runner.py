@@ -108,7 +108,7 @@ def _persist(run: Run, root: Path) -> dict[str, dict[str, str]]:
     t, order = run.tables, ["ord", "idx"]
     put = lambda df, path, schema, by: docs.write_json_array(df.orderBy(*by).select(*_columns(schema)), root / path)
     nodes = t["nodes"].where("depth = 0").select("domain_namespace", "taxonomy_node_id").first()
-    edges = [r.asDict() for r in t["edges"].orderBy("ord").select("parent_taxonomy_node_id", "taxonomy_node_id").limit(docs.MAX_DOCUMENT_ROWS).collect()]
+    edges = docs.document_rows(t["edges"].orderBy("ord").select("parent_taxonomy_node_id", "taxonomy_node_id"))
     graph = {"domain_namespace": nodes[0], "root_taxonomy_node_id": nodes[1], "edges": edges, "generation_policy": run.policies["taxonomy"]}
     judged = t["judged"]
     logs = {"critic_decisions": (cr.decisions, schemas.DECISION, judged), "rejections": (cr.rejection_log, schemas.REJECTION, judged), "regenerations": (cr.regeneration_log, schemas.REGENERATION, judged)}

@@ -32,12 +32,17 @@ def write_json(path: str | Path, value: Any) -> str:
     return str(path)
 
 
-def write_json_array(df: DataFrame, path: str | Path) -> str:
-    """The rows, in their order, as one JSON array; ValueError beyond MAX_DOCUMENT_ROWS."""
+def document_rows(df: DataFrame) -> list[dict[str, Any]]:
+    """All rows, in their order, for a JSON document; ValueError beyond MAX_DOCUMENT_ROWS."""
     rows = df.limit(MAX_DOCUMENT_ROWS + 1).collect()
     if len(rows) > MAX_DOCUMENT_ROWS:
         raise ValueError(f"over {MAX_DOCUMENT_ROWS} rows; use write_stage")
-    return write_json(path, [r.asDict(recursive=True) for r in rows])
+    return [r.asDict(recursive=True) for r in rows]
+
+
+def write_json_array(df: DataFrame, path: str | Path) -> str:
+    """The rows, in their order, as one JSON array; ValueError beyond MAX_DOCUMENT_ROWS."""
+    return write_json(path, document_rows(df))
 
 
 def write_stage(df: DataFrame, root: str, stage: str, run_id: str) -> str:
