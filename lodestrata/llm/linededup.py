@@ -28,7 +28,7 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: Keys that a shard is meant to hold; the number of shards follows from the number of frequent keys.
 SHARD_KEYS = 1 << 18
-#: Filters are broadcast up to this size in all; beyond it every reference goes to the exact join.
+#: Filters are broadcast up to this size at once; beyond it they are probed in several passes over the references.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -173,13 +173,29 @@ class LineIndex:
         if self.filters.where("filter IS NULL").limit(1).count():
             self._rebuild()
 
+    def _filter_groups(self) -> list[list[int]]:
+        """Shards in groups whose filters fit one broadcast, or single ones that are larger."""
+        groups, room = [], 0
+        for shard, size in self.filters.select("shard", F.length("filter")).orderBy("shard").collect():
+            if not groups or size > room:
+                groups.append([])
+                room = BROADCAST_BYTES
+            groups[-1].append(shard)
+            room -= size
+        return groups
+
     def _probed(self) -> DataFrame:
-        """References whose key may be frequent: probed in the filters, if those are small enough to broadcast."""
-        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size > BROADCAST_BYTES:
-            return self.refs
+        """References whose key may be frequent, by the filter of the key's shard; each pass probes a group of shards."""
+        found = self.refs.limit(0)
+        for group in self._filter_groups():
+            found = found.union(self._probed_in(group))
+        return found
+
+    def _probed_in(self, group: list[int]) -> DataFrame:
         shards = self.shards
-        shipped = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
+        held = self.filters.where(F.col("shard").between(group[0], group[-1])).collect()
+        shipped = self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in held})
+        refs = self.refs.where(_shard("k1", shards).between(group[0], group[-1]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = {shard: CuckooFilter.from_bytes(raw) for shard, raw in shipped.value.items()}
@@ -193,7 +209,7 @@ class LineIndex:
                         passed[own] = filters[s].contains(keys[own])
                 yield batch.filter(pa.array(passed))
 
-        return self.refs.mapInArrow(run, self.refs_schema)
+        return refs.mapInArrow(run, self.refs_schema)
 
     def drops(self) -> DataFrame:
         """For each document that loses lines: id, and `keys`, the keys of those lines."""

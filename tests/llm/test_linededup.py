@@ -95,3 +95,16 @@ def test_cuckoo_filter():
         CuckooFilter.for_keys(8).insert(keys[:100])
     with pytest.raises(KeyError):
         CuckooFilter.for_keys(8).delete(keys[:1])
+
+
+def test_filters_too_large_for_one_broadcast_are_probed_in_passes(spark, monkeypatch):
+    docs = {i: "\n".join([f"a line of its own, number {i}"] + [f"a line that repeats, number {(i + k) % 40}" for k in range(4)]) for i in range(120)}
+    index = LineIndex(spark, shard_keys=4)
+    index.insert(frame(spark, docs))
+    whole = sorted(map(tuple, index._probed().collect()))
+    size = max(len(r.filter) for r in index.filters.collect())
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 2 * size)
+    assert index.shards == 16 and len(index._filter_groups()) > 2
+    passed = sorted(map(tuple, index._probed().collect()))
+    assert passed == whole and 480 <= len(passed) < 500
+    assert got(index.apply(frame(spark, docs))) == brute(docs)
