@@ -1,9 +1,9 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact scaled-forward likelihoods.
 
-Words fall into a fixed number of classes by their hash. States emit classes, and a class emits its words
-by their counts, so a text's probability is the HMM's over classes times that of each word in its class.
-What an executor needs stays bounded (states x classes, and the most frequent words), while counts are
-those of every training text; rarer words are joined by shuffling.
+Words fall into classes by their hash, more of them as the vocabulary grows. States emit classes, and a class
+emits its words by their counts, so a text's probability is the HMM's over classes times that of each word in
+its class. An executor needs states x classes, and the most frequent words, while counts are those of every
+training text; rarer words are joined by shuffling.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from .shared import hash_sample, materialize
 from .textblock import blocks
 
 STATES = 6
+#: Classes at least, and words a class at most on average beyond that.
 CLASSES = 8192
-#: Baum-Welch passes over all training texts, after the start below.
-PASSES = 2
-#: The start of Baum-Welch is fitted on at most this many training texts, those of least hash of the id.
+WORDS_PER_CLASS = 64
+#: Baum-Welch passes over all training texts end when one gains less than this share of the log likelihood.
+SETTLED = 1e-4
+#: Where the passes begin: the start of Baum-Welch is fitted on at most this many training texts, those of least hash of the id.
 START_TEXTS = 600
 START_PASSES = 10
 #: Words whose counts may be broadcast (16 bytes each).
@@ -188,29 +190,65 @@ def _start_model(train: DataFrame, states: int, classes: int) -> Hmm:
     return model
 
 
-def baum_welch(train: DataFrame, model: Hmm) -> Hmm:
-    """One pass over all training texts (id, text): expected counts are summed in each task, then across tasks."""
+def classes_for(words: int) -> int:
+    """The power of two of classes for a vocabulary of `words` words."""
+    return max(CLASSES, 1 << max(0, -(-words // WORDS_PER_CLASS) - 1).bit_length())
+
+
+def _coded(train: DataFrame, classes: int) -> DataFrame:
+    """The texts as the bytes of their classes (int32), written once for all passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sequences, lengths = _classes_of_batch(batch.column(0), classes)
+                bounds = np.concatenate([[0], np.cumsum(lengths)]) * 4
+                flat = np.concatenate(sequences).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([flat[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["tokens"])
+
+    return materialize(train.select("text").mapInArrow(run, "tokens binary"), "hmm-classes")
+
+
+def baum_welch(coded: DataFrame, model: Hmm) -> tuple[Hmm, float]:
+    """One pass over all coded texts: expected counts are summed in each task, then across tasks.
+
+    Returns the next model, and the log likelihood of the texts in the given one.
+    """
     states, classes = len(model.start), len(model.emit) - 1
-    shipped = train.sparkSession.sparkContext.broadcast(model)
+    shipped = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = shipped.value, None
+        own, sums, loglik = shipped.value, None, 0.0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for _, tokens, first in _strips(*_classes_of_batch(batch.column(0), classes)):
-                got = own.expected(tokens, first)[:3]
+            raw = batch.column(0).to_pylist()
+            lengths = np.array([len(r) // 4 for r in raw])
+            for _, tokens, first in _strips([np.frombuffer(b"".join(raw), dtype=np.int32)], lengths):
+                *got, gained = own.expected(tokens, first)
                 sums = list(got) if sums is None else [a + b for a, b in zip(sums, got)]
+                loglik += gained
         if sums is not None:
-            flat = np.concatenate([s.ravel() for s in sums])
+            flat = np.concatenate([*(s.ravel() for s in sums), [loglik]])
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["i", "v"])
 
-    summed = train.select("text").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    flat = np.zeros(states + states * states + (classes + 1) * states)
+    summed = coded.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(states + states * states + (classes + 1) * states + 1)
     flat[summed.column("i").to_numpy()] = summed.column("v").to_numpy()
-    start, move, emit = np.split(flat, [states, states + states * states])
-    return Hmm.from_counts(start, move.reshape(states, states), emit.reshape(classes + 1, states))
+    shipped.destroy()
+    start, move, emit = np.split(flat[:-1], [states, states + states * states])
+    return Hmm.from_counts(start, move.reshape(states, states), emit.reshape(classes + 1, states)), float(flat[-1])
+
+
+def fit(train: DataFrame, states: int, classes: int, settled: float = SETTLED) -> Hmm:
+    """Baum-Welch over all training texts (id, text) until the log likelihood settles, from the start above."""
+    coded, model, before = _coded(train, classes), _start_model(train, states, classes), -np.inf
+    while True:
+        model, loglik = baum_welch(coded, model)
+        if loglik - before <= settled * abs(loglik):
+            return model
+        before = loglik
 
 
 @dataclass(frozen=True)
@@ -265,14 +303,14 @@ def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
-def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, classes: int = CLASSES, passes: int = PASSES, head_words: int = HEAD_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, classes: int | None = None, settled: float = SETTLED, head_words: int = HEAD_WORDS) -> DataFrame:
     """Learn from the documents that are not held out, and score all: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end; a null or empty text is an end
     only. base_score: sum over tokens of log10((c + 1) / (N + 1 * (V + 1))) with the training counts. score: the
     model's log10 probability of the text. A null in `held_out` counts as false. Rows that repeat an id are
     documents of their own; other columns are not read; an empty table gives an empty one, and without training
-    texts the model is its random start. The counts of words are by 64-bit hashes of them.
+    texts the model is a uniform one. Without `classes` their number follows from the vocabulary. The counts of words are by 64-bit hashes of them.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
@@ -281,6 +319,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     counts = materialize(counted, "word-counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
 
+    classes = classes_for(v) if classes is None else classes
     if classes & (classes - 1):
         raise ValueError("the number of classes is a power of two")
     kind = F.col("h").bitwiseAND(F.lit(classes - 1))
@@ -289,9 +328,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id",
     totals[per_class.column("k").to_numpy()] = per_class.column("d").to_numpy()
     class_logs = np.log10(totals + 1.0)  # the end is the only word of its class
 
-    model = _start_model(train, states, classes)
-    for _ in range(passes):
-        model = baum_welch(train, model)
+    model = fit(train, states, classes, settled)
     shipped = spark.sparkContext.broadcast(Scorer(model, *_head(counts, head_words), class_logs))
     schema = T.StructType(
         [source.schema["id"], source.schema["held_out"], T.StructField("n", T.LongType()), T.StructField("known", T.LongType())]

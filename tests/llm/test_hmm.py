@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.llm import hmm
 from lodestrata.llm.hmm import Hmm, class_of, score_documents
 
 from .brute import LOWER, words
@@ -83,3 +85,14 @@ def test_no_training_and_empty(spark):
 def test_classes_take_unsigned_hashes():
     hashes = np.array([1 << 63, (1 << 64) - 1, 5], dtype=np.uint64)
     assert class_of(hashes, 64).tolist() == [0, 63, 5]
+
+
+def test_the_fit_over_all_texts_settles_and_classes_grow(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "START_TEXTS", 4)
+    rows = [(d, t) for d, t in documents() if d is not None and d < 500]
+    model = hmm.fit(spark.createDataFrame(rows, "id long, text string").repartition(3), 4, 64)
+    hashes, first = next(hmm.word_hashes(pa.array([t for _, t in rows])))
+    tokens = class_of(hashes, 64)
+    *counts, reached = model.expected(tokens, first)
+    assert Hmm.from_counts(*counts).forward(tokens, first).sum() - reached < 1e-4 * abs(reached)
+    assert [hmm.classes_for(n) for n in (0, 8192 * 64, 8192 * 64 + 1, 10**7)] == [8192, 8192, 16384, 1 << 18]
