@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import hmm
-from lodestrata.llm.hmm import Hmm, class_of, score_documents
+from lodestrata.llm.hmm import Classes, Hmm, score_documents
 
 from .brute import LOWER, words
 
 
-def test_forward_and_expected_counts_match_enumeration():
+@pytest.mark.parametrize("piece", [2, 4096])
+def test_forward_and_expected_counts_match_enumeration(monkeypatch, piece):
+    monkeypatch.setattr(hmm, "PIECE", piece)
     rng = np.random.default_rng(3)
     model = Hmm.random(3, 4)
     first = np.array([0, 1, 4, 9])
@@ -53,7 +55,7 @@ def documents():
 def test_scores(spark, head):
     rows = documents()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, score int").repartition(3)
-    got = score_documents(docs, F.col("doc_id") % 7 == 2, classes=64, states=2, head_words=head).collect()
+    got = score_documents(docs, F.col("doc_id") % 7 == 2, own_classes=40, shared_classes=64, states=2, head_words=head).collect()
     assert len(got) == len(rows)
     counts = Counter()
     tokens = lambda t: [*words((t or "").translate(LOWER)), None]
@@ -82,17 +84,88 @@ def test_no_training_and_empty(spark):
     assert score_documents(docs.limit(0), F.lit(True)).collect() == []
 
 
-def test_classes_take_unsigned_hashes():
-    hashes = np.array([1 << 63, (1 << 64) - 1, 5], dtype=np.uint64)
-    assert class_of(hashes, 64).tolist() == [0, 63, 5]
+def test_long_texts_in_pieces_and_single_precision(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = Hmm.random(4, 30)
+    first = np.concatenate([[0], np.cumsum(rng.integers(1, 3000, 40))])
+    tokens = rng.integers(0, 31, first[-1]).astype(np.int32)
+    whole, logs = model.expected(tokens, first), model.forward(tokens, first)
+    monkeypatch.setattr(hmm, "PIECE", 64)
+    for kind, near in ((np.float64, 1e-9), (np.float32, 1e-4)):
+        recursion = hmm.Recursion(model, kind)
+        assert np.allclose(recursion.forward(tokens, first), logs, rtol=near)
+        for got, want in zip(recursion.expected(tokens, first), whole):
+            assert np.allclose(got, want, rtol=near, atol=1e-2 if near > 1e-6 else 1e-9)
 
 
-def test_the_fit_over_all_texts_settles_and_classes_grow(spark, monkeypatch):
-    monkeypatch.setattr(hmm, "START_TEXTS", 4)
-    rows = [(d, t) for d, t in documents() if d is not None and d < 500]
-    model = hmm.fit(spark.createDataFrame(rows, "id long, text string").repartition(3), 4, 64)
-    hashes, first = next(hmm.word_hashes(pa.array([t for _, t in rows])))
-    tokens = class_of(hashes, 64)
+def test_still_texts_keep_one_state():
+    model, first = Hmm.random(2, 3), np.array([0, 2, 3])
+    tokens = np.array([0, 1, 3], dtype=np.int32)
+    start, _, emit, total = hmm.Recursion(model).still(tokens, first)
+    p = np.array([[model.start[s] * np.prod(model.emit[tokens[a:b], s]) for s in range(2)] for a, b in ((0, 2), (2, 3))])
+    share = p / p.sum(axis=1, keepdims=True)
+    assert total == pytest.approx(np.log(p.sum(axis=1)).sum())
+    assert np.allclose(start, share.sum(axis=0))
+    assert np.allclose(emit, [share[0], share[0], [0, 0], share[1]])
+
+
+@pytest.mark.parametrize("head", [0, 1000])
+def test_scores_are_those_of_a_model_over_words(spark, monkeypatch, head):
+    """The score of each text, against a plain recursion over words with the fitted states and counts."""
+    fitted = {}
+    plain = hmm.fit
+
+    def fit(texts, states, classes, settled):
+        fitted["model"] = plain(texts, states, classes, settled)
+        return fitted["model"]
+
+    monkeypatch.setattr(hmm, "fit", fit)
+    monkeypatch.setattr(hmm, "PIECE", 16)
+    rows = documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = score_documents(docs, F.col("doc_id") % 7 == 2, own_classes=40, shared_classes=8, states=3, head_words=head).collect()
+    model, counts = fitted["model"], Counter()
+    tokens = lambda t: words((t or "").translate(LOWER))
+    for d, t in rows:
+        if d is None or d % 7 != 2:
+            counts.update(tokens(t))
+    every = sorted(set(counts) | {w for _, t in rows for w in tokens(t)})
+    hashes = dict(zip(every, next(hmm.word_hashes(pa.array([" ".join(every)])))[0]))
+    known = sorted(((-c, int(hashes[w])) for w, c in counts.items()))
+    own = Classes(np.array([h for _, h in known[: 40 if head else 0]], dtype=np.uint64), 8)
+    place = {w: int(own.of(np.array([h], dtype=np.uint64))[0]) for w, h in hashes.items()}
+    room = Counter()
+    for w, c in counts.items():
+        room[place[w]] += c + 1
+    texts = dict(rows)
+    for r in got:
+        alpha, log = None, 0.0
+        for w in [*tokens(texts[r.doc_id]), None]:
+            if w is None:
+                emitted = model.emit[-1]
+            elif place[w] < len(own.own):
+                emitted = model.emit[place[w]]
+            else:
+                emitted = model.emit[place[w]] * (counts[w] + 1) / (room[place[w]] + 1)
+            alpha = (model.start if alpha is None else alpha @ model.move) * emitted
+            log += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert r.score == pytest.approx(log)
+
+
+def test_classes():
+    words_, shared = np.array([1 << 63, 5, 5 + (1 << 20), (1 << 64) - 1], dtype=np.uint64), 4
+    classes = Classes(words_, shared)
+    # The second and the third word meet in a slot; the second, which is more frequent, has it.
+    assert len(classes) == 3 + 4 + 1
+    assert classes.of(np.array([1 << 63, 5, (1 << 64) - 1, 5 + (1 << 20), 6 + (3 << 20), hmm.END], dtype=np.uint64)).tolist() == [0, 1, 2, 3 + 1, 3 + 3, 7]
+
+
+def test_the_fit_over_all_texts_settles(spark):
+    rows = [(t,) for d, t in documents() if d is not None and d < 500]
+    classes = Classes(np.zeros(0, dtype=np.uint64), 64)
+    model = hmm.fit(hmm.coded(spark.createDataFrame(rows, "text string").repartition(3), classes), 4, len(classes))
+    hashes, first = next(hmm.word_hashes(pa.array([t for t, in rows])))
+    tokens = classes.of(hashes)
     *counts, reached = model.expected(tokens, first)
     assert Hmm.from_counts(*counts).forward(tokens, first).sum() - reached < 1e-4 * abs(reached)
-    assert [hmm.classes_for(n) for n in (0, 8192 * 64, 8192 * 64 + 1, 10**7)] == [8192, 8192, 16384, 1 << 18]
