@@ -11,13 +11,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_dir, materialize
+from .shared import fresh_dir, materialize, quoted
+
+#: Blobs that may be broadcast (about 60 bytes each).
+BROADCAST_BLOBS = 200_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,7 @@ LEDGER = T.StructType([T.StructField("blob", T.BinaryType()), *_PAIR.fields, T.S
 
 
 class BlobLedger:
-    """A table of what was scanned and found: a row per (blob, kind, version), kept as Parquet in `path`.
+    """A table of what was scanned and found: a row per (blob, kind, version), kept as Parquet in `path`, by kind and version.
 
     Batches only append. A batch that is lost half-written leaves no row (the writer commits at its end), and a
     batch that runs again finds its pairs seen.
@@ -72,31 +76,46 @@ class BlobLedger:
         self.spark = spark
         self.path = path or fresh_dir(spark, "secret-ledger")
 
-    def read(self) -> DataFrame:
+    def read(self, rules: Sequence[SecretRule] | None = None, blobs: DataFrame | None = None) -> DataFrame:
+        """The ledger's rows, or those of these rules and of these distinct blobs (blob) only."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(self.path)
+        rows = self.spark.read.schema(LEDGER).parquet(self.path)
+        if rules is not None:  # on the columns of folders, so that other rules' files are not read
+            rows = rows.where(reduce(Column.__or__, ((F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules), F.lit(False)))
+        return rows if blobs is None else rows.join(_sided(blobs), "blob", "left_semi")
 
     def unseen(self, blobs: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
-        """Of the distinct blobs, those with a rule not yet applied: the blob's columns and `kinds`, the kinds to scan for."""
-        wanted = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-        have = self.read().groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("have"))
-        left = blobs.join(have, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("have", F.array().cast(T.ArrayType(_PAIR)))))
-        return left.where(F.size("todo") > 0).withColumn("kinds", F.col("todo.kind")).drop("have", "todo")
-
-    def scan(self, paths: DataFrame, texts: DataFrame, rules: Sequence[SecretRule]) -> int:
-        """Scan what is unseen of `paths` (path, blob); `texts` has (path, text). Returns the number of pairs scanned."""
-        first = paths.groupBy("blob").agg(F.min("path").alias("path"))
-        todo = materialize(self.unseen(first, rules), "unseen")
-        # The small side is hashed, so the texts are not sorted.
-        found = texts.join(todo.hint("shuffle_hash"), "path").select("blob", "kinds", "text").mapInArrow(_scanner(rules), LEDGER)
-        pairs = todo.agg(F.coalesce(F.sum(F.size("kinds")), F.lit(0))).first()[0]
-        if pairs:
-            found.write.mode("append").parquet(self.path)
+        """Of the distinct blobs (blob), those with a rule not yet applied: blob and `kinds`, the kinds to scan for."""
+        wanted = F.array(*(F.lit(r.kind) for r in rules)).cast("array<string>")
+        have = self.read(rules, blobs).groupBy("blob").agg(F.collect_set("kind").alias("have"))
+        left = blobs.join(have, "blob", "left")
+        todo = F.array_except(wanted, F.coalesce("have", F.array().cast("array<string>")))
+        return left.select("blob", todo.alias("kinds")).where(F.size("kinds") > 0)
+
+    def scan(self, blobs: DataFrame, contents: DataFrame, rules: Sequence[SecretRule]) -> int:
+        """Scan what is unseen of the distinct `blobs` (blob); `contents` has (blob, text), repeats and all. Returns the number of pairs scanned.
+
+        Copies of a blob go down to one in each task before anything is shuffled, and only texts of unseen blobs
+        are, or none at all if nothing is unseen.
+        """
+        todo = materialize(self.unseen(blobs, rules), "unseen")
+        pairs, n = todo.agg(F.coalesce(F.sum(F.size("kinds")), F.lit(0)), F.count("*")).first()
+        if not pairs:
+            return 0
+        if n <= BROADCAST_BLOBS:
+            contents = contents.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
+        once = contents.groupBy("blob").agg(F.first("text").alias("text"))
+        found = once.join(todo, "blob").select("blob", "kinds", "text").mapInArrow(_scanner(rules), LEDGER)
+        found.write.mode("append").partitionBy("kind", "version").parquet(self.path)
         return pairs
 
 
+def _sided(blobs: DataFrame) -> DataFrame:
+    return F.broadcast(blobs) if blobs.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS else blobs
+
+
 def _scanner(rules: Sequence[SecretRule]):
     by_kind = {r.kind: r for r in rules}
     if len(by_kind) < len(rules):
@@ -124,21 +143,19 @@ def scan_secrets(docs: DataFrame, rules: Sequence[SecretRule] = BASE_RULES, id_c
     """One row per document: id_col and `findings`, an array of (start, kind, end) by start, then kind in rule order.
 
     Offsets are code points, the end exclusive. A null text is an empty one. Repeated rows are several paths to
-    one blob and get equal results each; texts of different rows with one id are told apart by their blob, and
-    null ids are paths like any other. Other columns are not read; an empty table gives an empty one. Without a
-    `ledger` a new one is begun, so every blob is scanned once.
+    one blob, which is scanned once, and get equal results each; texts of different rows with one id are told apart
+    by their blob, and null ids are paths like any other. Other columns are not read; an empty table gives an empty
+    one. Without a `ledger` a new one is begun, so every blob is scanned once.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # A path is a document in one version: its id and a hash of its text.
-    path = F.xxhash64(F.col("id"), F.col("text"))
-    paths = materialize(source.select("id", F.unhex(F.sha2("text", 256)).alias("blob"), path.alias("path")), "paths")
-    texts = source.select(path.alias("path"), "text")
-    ledger.scan(paths, texts, rules)
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    blob = F.unhex(F.sha2("text", 256)).alias("blob")
+    paths = materialize(source.select("id", blob), "paths")
+    blobs = materialize(paths.select("blob").distinct(), "blobs")
+    ledger.scan(blobs, source.select(blob, "text"), rules)
 
     order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))))
-    current = F.broadcast(docs.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], _PAIR))
-    hits = ledger.read().where(F.size("spans") > 0).join(current, ["kind", "version"]).dropDuplicates(["blob", "kind"])
+    hits = ledger.read(rules, blobs).where(F.size("spans") > 0).dropDuplicates(["blob", "kind"])
     span = F.explode("spans").alias("span")
     hits = hits.select("blob", "kind", span).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(F.col("span.start"), order[F.col("kind")].alias("nth"), "kind", F.col("span.end")))).alias("findings"))
     out = paths.join(hits, "blob", "left")

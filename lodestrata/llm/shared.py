@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from lodestrata.sources.checkpoints import fresh_dir, materialize, shared_dir  # noqa: F401
 
 
+def quoted(name: str) -> str:
+    """A column's name as it must be written where a dot would mean a field."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def hash_sample(df: DataFrame, key: str, most: int, n: int | None = None) -> DataFrame:
     """At most `most` rows of `df`, those of least hash of `key`, the same in every run.
 
