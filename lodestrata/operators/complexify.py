@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import overlap, token_set
-from lodestrata.sources.checkpoints import materialize
+
+from .ordered import running_sums
 
 FRACTION = 0.5
 OVERLAP = 0.55
@@ -35,15 +36,9 @@ def rewriter(strategy: str | Callable[[Column], Column]) -> Callable[[Column], C
 def with_position(df: DataFrame, order: list[str]) -> DataFrame:
     """Add pos, the row's place (from 0) in the order of `order`, whose values are unique.
 
-    Rows are dealt by range, counted in each partition, and numbered there from the sum of the partitions before,
-    so no task sees more than its range. The written ranges keep their numbers if a task runs again.
+    No task sees more than a range of the rows.
     """
-    ranged = materialize(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
-    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return ranged.withColumn("inside", inside).join(F.broadcast(starts), "part").withColumn("pos", F.col("start") + F.col("inside")).drop("part", "inside", "start")
+    return running_sums(df, order, {"pos": F.lit(1)})
 
 
 def complexify(samples: DataFrame, order: list[str], fraction: float = FRACTION, threshold: float = OVERLAP, strategy: str | Callable[[Column], Column] = "append_reasoning") -> DataFrame:
