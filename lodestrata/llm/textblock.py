@@ -25,19 +25,20 @@ _LOWER[65:91] += 32
 
 _BASES = (_BASE, 0xD6E8FEB86659FD93 | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes whose powers are held in tables; longer blocks are hashed in strips of so many.
+_STRIP = 1 << 19
 
 
-def _power_tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n; grown on demand, once in a process."""
-    if which not in _powers or len(_powers[which][0]) <= n:
-        size = max(n + 1, BLOCK_BYTES * 2)
+def _power_tables(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to _STRIP; made once in a process."""
+    if which not in _powers:
         tables = []
         for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
-            table = np.ones(size, dtype=np.uint64)
+            table = np.ones(_STRIP + 1, dtype=np.uint64)
             done = 1
-            while done < size:
+            while done < len(table):
                 step = np.uint64(pow(base, done, 1 << 64))
-                more = min(done, size - done)
+                more = min(done, len(table) - done)
                 table[done : done + more] = table[:more] * step
                 done += more
             tables.append(table)
@@ -71,10 +72,12 @@ class TextBlock:
         return _SPACE[self.data]
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
-        """Sum of a per-byte array by document."""
-        sums = np.zeros(len(flags) + 1, dtype=np.int64)
-        np.cumsum(flags, out=sums[1:])
-        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+        """Sum of a per-byte array of flags by document."""
+        out = np.zeros(self.n_docs, dtype=np.int64)
+        some = np.flatnonzero(np.diff(self.offsets))
+        if len(some):
+            out[some] = np.add.reduceat(flags, self.offsets[some], dtype=np.int64)
+        return out
 
     def word_bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and for each document the index of its first word (n_docs + 1)."""
@@ -92,15 +95,45 @@ class TextBlock:
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def _strip_sums(self, which: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Sums of data[i] * base**i up to each place, in strips: first place, sums at it and the places after it."""
+        up, base, carry = _power_tables(which)[0], _BASES[which], np.uint64(0)
+        for at in range(0, len(self.data) + 1, _STRIP):
+            part = self.data[at : at + _STRIP]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            if at:
+                sums *= np.uint64(pow(base, at, 1 << 64))
+                sums += carry
+            carry = sums[-1]
+            yield at, sums
+
+    def _sums_at(self, which: int, *places: np.ndarray) -> list[np.ndarray]:
+        """The sums at ascending places. Only those of one strip are held at a time."""
+        if len(self.data) < _STRIP:
+            if which not in self._sums:
+                (_, self._sums[which]), = self._strip_sums(which)
+            return [self._sums[which][p] for p in places]
+        found = [np.zeros(len(p), dtype=np.uint64) for p in places]
+        for at, sums in self._strip_sums(which):
+            for p, out in zip(places, found):
+                a, b = np.searchsorted(p, [at, at + _STRIP])
+                out[a:b] = sums[p[a:b] - at]
+        return found
+
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        """64-bit hashes of the byte spans; `which` (0 or 1) picks one of two independent functions."""
-        n = len(self.data)
-        up, down = _power_tables(n, which)
-        sums = self._sums.get(which)
-        if sums is None:
-            sums = self._sums[which] = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        """64-bit hashes of the byte spans, whose starts and ends both ascend; `which` (0 or 1) picks one of two independent functions."""
+        first, last = self._sums_at(which, starts, ends)
+        down = _power_tables(which)[1]
+        last -= first
+        if len(self.data) < _STRIP:
+            last *= down[starts]
+        else:
+            inverse = pow(_BASES[which], -1, 1 << 64)
+            jumps = np.array([pow(inverse, at, 1 << 64) for at in range(0, len(self.data) + 1, _STRIP)], dtype=np.uint64)
+            last *= down[starts % _STRIP] * jumps[starts // _STRIP]
+        last += (ends - starts).astype(np.uint64)
+        return mix64(last)
 
     def line_bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends (without the \\n) of the lines, and for each document the index of its first line; an empty document has one line."""
@@ -155,7 +188,8 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
 def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, TextBlock]]:
     """Cut a string column (null: empty) into runs of rows of about `block_bytes` bytes; yields first row, end row, block.
 
-    One text longer than that is a block of its own; texts are never cut.
+    One text longer than that is a block of its own; texts are never cut. What is made of a block takes about 20
+    bytes for each of its bytes, most of it flags of bytes and numbers of words, so that bounds the longest text.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lodestrata.llm import linededup
+from lodestrata.llm import linededup, textblock
 from lodestrata.llm.cuckoo import CuckooFilter, FilterFull
 from lodestrata.llm.linededup import LineIndex, dedup_lines
 
@@ -97,14 +97,53 @@ def test_cuckoo_filter():
         CuckooFilter.for_keys(8).delete(keys[:1])
 
 
-def test_filters_too_large_for_one_broadcast_are_probed_in_passes(spark, monkeypatch):
-    docs = {i: "\n".join([f"a line of its own, number {i}"] + [f"a line that repeats, number {(i + k) % 40}" for k in range(4)]) for i in range(120)}
+def test_filters_too_large_to_broadcast_are_probed_by_shard(spark, monkeypatch):
+    docs = {i: "\n".join([f"a line of its own, number {i}", "a line that stands everywhere"] + [f"a line that repeats, number {(i + k) % 40}" for k in range(4)]) for i in range(120)}
     index = LineIndex(spark, shard_keys=4)
     index.insert(frame(spark, docs))
     whole = sorted(map(tuple, index._probed().collect()))
-    size = max(len(r.filter) for r in index.filters.collect())
-    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 2 * size)
-    assert index.shards == 16 and len(index._filter_groups()) > 2
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linededup, "CHUNK_REFS", 16)
+    assert index.shards == 16
     passed = sorted(map(tuple, index._probed().collect()))
-    assert passed == whole and 480 <= len(passed) < 500
+    assert passed == whole and 600 <= len(passed) < 620
     assert got(index.apply(frame(spark, docs))) == brute(docs)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    line, other = "a line that is long enough", "another line that is long enough"
+    rows = [(1, line), (1, line), (1, f"{line}\n{other}"), (2, line), (2, other), (3, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id, r.text, r.n_dropped) for r in dedup_lines(df).collect())
+    # `line` stands in two documents, `other` in three.
+    assert found == [(1, line, 0), (1, line, 0), (1, line, 1), (2, "", 1), (2, line, 0), (3, other, 0)]
+
+
+def test_an_insertion_may_come_again(spark):
+    docs = corpus()
+    index = LineIndex(spark)
+    index.insert(frame(spark, docs))
+    before = sorted(map(tuple, index.counts.collect()))
+    index.insert(frame(spark, {d: docs[d] for d in sorted(docs)[::2]}))
+    index.insert(frame(spark, docs))
+    assert sorted(map(tuple, index.counts.collect())) == before
+    assert got(index.apply(frame(spark, docs))) == brute(docs)
+
+
+def test_own_columns_only(spark):
+    df = spark.createDataFrame([(1, "x", 77, 5, "d")], "doc_id long, text string, n_lines int, N_DROPPED int, `a.b` string")
+    kept = dedup_lines(df, counts=False)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "x", 77, 5, "d")]
+
+
+def test_long_texts_are_hashed_in_strips(monkeypatch):
+    rng = random.Random(2)
+    raw = " ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 30))) for _ in range(5000)).encode()
+    data = np.frombuffer(raw, dtype=np.uint8)
+    one, many = (textblock.TextBlock(data, np.array([0, len(data)])) for _ in range(2))
+    starts, ends, _ = one.word_bounds()
+    whole = [one.span_hashes(starts, ends, which) for which in (0, 1)]
+    monkeypatch.setattr(textblock, "_STRIP", 1024)
+    monkeypatch.setattr(textblock, "_powers", {})
+    for which in (0, 1):
+        assert (many.span_hashes(starts, ends, which) == whole[which]).all()
