@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import connected_components
-from .shared import materialize
+from .shared import join_with_hot_keys, materialize, quoted
 from .textblock import TextBlock, blocks, mix64, shingles
 
 WORDS = 5
@@ -35,6 +35,8 @@ MAX_TURNS = 8
 FEW_PAIRS = 2
 #: Ids that may be broadcast (8 MB of ids); beyond that, texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Documents that are compared with one other in one task.
+CHUNK_PAIRS = 256
 
 _SEEDS = mix64(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _XOR = (_SEEDS[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -101,33 +103,38 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
+def _set(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), dtype="<u8")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, own = None, None
     for batch in batches:
-        u, v = batch.column(0), batch.column(1)
+        u, v, of_u, of_v = batch.columns
         held = np.zeros(batch.num_rows, dtype=bool)
-        for start, end, block in blocks(batch.column(3)):
-            hashes, pointer = document_shingles(block)
-            for i in range(start, end):
-                if u[i] != known:
-                    known = u[i]
-                    (_, _, alone), = blocks(batch.column(2).slice(i, 1))
-                    own = np.unique(document_shingles(alone)[0])
-                held[i] = similar(own, np.unique(hashes[pointer[i - start] : pointer[i - start + 1]]))
+        for i in range(batch.num_rows):
+            if u[i] != known:
+                known, own = u[i], _set(of_u[i])
+            held[i] = similar(own, _set(of_v[i]))
         yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(held))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (u, v), those linked on their full sets; `docs` has one text for each id (id, text)."""
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (u, v), those linked on their full sets; `sets` has one set for each id (id, s).
+
+    The pairs of one u are dealt out in chunks, to each of which its set goes once, so a document that is compared
+    with many others makes no long task.
+    """
     pairs = materialize(pairs.distinct(), "pairs")
-    needed = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    bounded = 2 * pairs.count() <= BROADCAST_IDS or needed.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(needed) if bounded else needed, "id", "left_semi")
-    texts = materialize(texts, "texts")
-    with_v = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("v_text")), "v")
-    with_both = with_v.join(texts.select(F.col("id").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK_PAIRS).cast("int").alias("chunks"))
+    few, hot = many.where("chunks = 1"), materialize(many.where("chunks > 1"), "chunks")
+    dealt = pairs.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "u", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"), F.lit(0))).drop("chunks")
+    with_v = dealt.join(sets.select(F.col("id").alias("v"), F.col("s").alias("s_v")), "v")
+    chunks = few.union(hot).select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    with_u = chunks.join(sets.select(F.col("id").alias("u"), F.col("s").alias("s_u")), "u")
     kind = pairs.schema["u"].dataType
-    links = with_both.mapInArrow(_verify, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
+    both = with_v.join(with_u, ["u", "chunk"]).select("u", "v", "s_u", "s_v")
+    links = both.mapInArrow(_verify, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
     return materialize(links, "links")
 
 
@@ -146,15 +153,16 @@ def _across(rows: DataFrame) -> DataFrame:
 def _open_buckets(rows: DataFrame, components: DataFrame) -> DataFrame:
     """Rows (bucket, id, n) with their component, of the buckets that hold several; c is the bucket's size."""
     placed = rows.join(components, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = materialize(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    return materialize(placed.join(mixed.select("bucket", "c"), "bucket"), "open")
+    return materialize(join_with_hot_keys(placed, mixed.select("bucket", "c"), "bucket", "c"), "open")
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs of each bucket's members with one of them, another one in every turn, across components."""
     draw = F.xxhash64("id", F.lit(turn))
-    hub = rows.groupBy("bucket").agg(*(F.min_by(c, draw).alias(f"{c}_h") for c in ("id", "n", "component")))
-    pairs = rows.join(hub, "bucket").where(f"component <> component_h AND {_fits('n', 'n_h')}")
+    hub = rows.groupBy("bucket").agg(*(F.min_by(c, draw).alias(f"{c}_h") for c in ("id", "n", "component")), F.max("c").alias("c_h"))
+    pairs = join_with_hot_keys(rows, hub, "bucket", "c_h").where(f"component <> component_h AND {_fits('n', 'n_h')}")
     return pairs.select(F.least("id", "id_h").alias("u"), F.greatest("id", "id_h").alias("v")).distinct()
 
 
@@ -169,9 +177,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, block in blocks(batch.column(1)):
             hashes, pointer = document_shingles(block)
-            sets = [np.unique(hashes[pointer[i] : pointer[i + 1]]) for i in range(end - start)]
-            bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "s"])
+            sets = [np.unique(hashes[pointer[i] : pointer[i + 1]]).astype("<u8", copy=False).tobytes() for i in range(end - start)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sets, pa.binary())], names=["id", "s"])
 
 
 def common_sizes(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -198,8 +205,7 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     first, second = key[1].as_py(), key[2].as_py()
     table = table.take(pa.compute.sort_indices(table, [("side", "ascending")]))
     side, component = table.column("side").to_numpy(), table.column("component").to_numpy()
-    lists = table.column("s").combine_chunks()
-    sets = [lists[i].values.to_numpy() for i in range(len(lists))]
+    sets = [_set(raw) for raw in table.column("s")]
     split, ids = int((side == first).sum()), table.column("id").to_numpy()
     if first == second:
         sets, component, ids = sets * 2, np.tile(component, 2), np.tile(ids, 2)
@@ -211,25 +217,22 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"u": np.minimum(ids[u], ids[split + v]), "v": np.maximum(ids[u], ids[split + v])})
 
 
-def _links_in_clusters(large: DataFrame, texts: DataFrame) -> DataFrame:
+def _links_in_clusters(large: DataFrame, sets: DataFrame) -> DataFrame:
     """All links across components inside clusters: documents that meet in large open buckets, in one step or several.
 
     A cluster is cut into blocks by hash, and each pair of blocks is a task of bounded size that compares whole sets
     and returns links only.
     """
     kind = large.schema["id"].dataType
-    hub = large.groupBy("bucket").agg(F.min("id").alias("hub"))
-    clusters = connected_components(large.join(hub, "bucket").select(F.col("id").alias("u"), F.col("hub").alias("v")))
+    hub = large.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("c").alias("c_h"))
+    clusters = connected_components(join_with_hot_keys(large, hub, "bucket", "c_h").select(F.col("id").alias("u"), F.col("hub").alias("v")))
     placed = materialize(large.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id"), "clusters")
-    sized = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("k"))
-    blocked = placed.join(sized, "cluster").withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    sized = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("k"), F.count("*").alias("size"))
+    blocked = join_with_hot_keys(placed, sized, "cluster", "size").withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     blocked = blocked.select("id", "component", "cluster", "side", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     blocked = blocked.select("*", F.least("side", "other").alias("b1"), F.greatest("side", "other").alias("b2"))
-    needed = F.broadcast(placed.select("id")) if placed.count() <= BROADCAST_IDS else placed.select("id")
-    held = texts.join(needed, "id", "left_semi").mapInArrow(_sets, T.StructType([T.StructField("id", kind), T.StructField("s", T.ArrayType(T.LongType()))]))
-    held = materialize(held.dropDuplicates(["id"]), "cluster-sets")
     pairs = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
-    found = blocked.join(held, "id").select("cluster", "b1", "b2", "side", "id", "component", "s").groupBy("cluster", "b1", "b2").applyInArrow(_block_links, pairs)
+    found = blocked.join(sets, "id").select("cluster", "b1", "b2", "side", "id", "component", "s").groupBy("cluster", "b1", "b2").applyInArrow(_block_links, pairs)
     return materialize(found.distinct(), "links")
 
 
@@ -239,7 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z are lower-cased; shingles are five words `[^\\x20\\x09-\\x0D]+`, or the whole sequence of a shorter
     text. Null and empty texts have no shingle and link with nothing. Rows that repeat an id are one document
     if their texts are equal; rows with a null id get a null component, link with nothing and are kept. Other
-    columns are not read; an empty table gives an empty one.
+    columns are not read; an empty table gives an empty one. Shingles are told apart by 64-bit hashes, and equal sets
+    by their size and two 64-bit sums over them, which two different sets share with a probability of 2^-128.
 
     Documents of equal sets collapse to the smallest id first (partial min before the shuffle), so a group of
     copies costs one signature. Every member of a band's bucket is first compared with one other member of
@@ -250,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and no pair that could be linked is skipped.
     """
     kind = docs.schema[id_col].dataType
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     schema = T.StructType(
         [T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("bands", T.ArrayType(T.LongType()))]
     )
@@ -261,12 +265,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = usable.join(sets.select(F.col("rep").alias("id"), *(F.col(c).alias(f"s_{c}") for c in ("n", "d1", "d2"))), "id")
     reps = reps.where("n = s_n AND d1 = s_d1 AND d2 = s_d2").select("id", "n", "bands")
     posted = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = posted.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(posted.join(shared.select("bucket", "pivot"), "bucket"), "members")
-
-    texts = source.where("id IS NOT NULL")
-    tried = materialize(members.where("id > pivot").groupBy("id").agg(F.min("pivot").alias("u")).select("u", F.col("id").alias("v")), "tried")
-    links = _confirmed(tried, texts)
+    shared = posted.groupBy("bucket").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("pivot_n"), F.count("*").alias("c")).where("c > 1")
+    members = materialize(join_with_hot_keys(posted, shared, "bucket", "c"), "members")
+
+    met = materialize(members.select("id").distinct(), "met")
+    few = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+    # Of rows that repeat an id with other texts, one counts.
+    full = source.join(few, "id", "left_semi").mapInArrow(_sets, T.StructType([T.StructField("id", kind), T.StructField("s", T.BinaryType())]))
+    full = materialize(full.groupBy("id").agg(F.min("s").alias("s")), "full-sets")
+
+    first = members.where(f"id > pivot AND {_fits('n', 'pivot_n')}").groupBy("id").agg(F.min("pivot").alias("u"))
+    tried = materialize(first.select("u", F.col("id").alias("v")), "tried")
+    links = _confirmed(tried, full)
     components = materialize(connected_components(links), "components")
     rows = _open_buckets(members.select("bucket", "id", "n"), components)
     size, left = _left_to_compare(rows)
@@ -275,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         pairs = materialize(_star(rows, turn).join(tried, ["u", "v"], "left_anti"), "turn")
         tried = tried.union(pairs)
-        links = links.union(_confirmed(pairs, texts))
+        links = links.union(_confirmed(pairs, full))
         components = materialize(connected_components(links), "components")
         rows = _open_buckets(rows.select("bucket", "id", "n"), components)
         before = left
@@ -285,9 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if left:
         large = rows.where(f"c > {SMALL_BUCKET}")
         if large.limit(1).count():
-            links = links.union(_links_in_clusters(large, texts))
+            links = links.union(_links_in_clusters(large, full))
         rest = _across(rows.where(f"c <= {SMALL_BUCKET}"))
-        links = links.union(_confirmed(rest.join(tried, ["u", "v"], "left_anti"), texts))
+        links = links.union(_confirmed(rest.join(tried, ["u", "v"], "left_anti"), full))
         components = materialize(connected_components(links), "components")
 
     named = sets.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
@@ -301,6 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that `near_duplicates` does not keep; of each group the smallest id stays."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = materialize(found.where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct(), "gone")
+    gone = materialize(found.where("NOT kept").select(F.col(quoted(id_col)).alias("gone")).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs[id_col] == F.col("gone_id"), "left_anti")
+    # By position, so that no name of theirs can clash.
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return numbered.join(side, F.col(f"c{docs.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*docs.columns)

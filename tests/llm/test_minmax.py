@@ -1,6 +1,6 @@
 import random
 
-from lodestrata.llm import minmax
+from lodestrata.llm import minmax, shared
 from lodestrata.llm.graph import connected_components
 
 from .brute import near_duplicates
@@ -31,6 +31,8 @@ def test_chains_copies_and_edges(spark, monkeypatch):
     check(spark, docs)
     monkeypatch.setattr(minmax, "SMALL_BUCKET", 2)
     monkeypatch.setattr(minmax, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minmax, "CHUNK_PAIRS", 3)
+    monkeypatch.setattr(shared, "HOT_SHARE", 0.01)
     check(spark, docs)
 
 
@@ -40,6 +42,13 @@ def test_empty_table_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (3, 3, True), (3, 3, True)]
 
 
+def test_stage_keeps_columns_whatever_their_names(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, 5, "x"), (2, text, 6, "y"), (None, text, 7, "z")], "doc_id long, text string, gone_id int, `gone.id` string")
+    kept = minmax.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.gone_id for r in kept.collect()) == [5, 7]
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (9, 8)]
     got = dict(connected_components(spark.createDataFrame(pairs, "u long, v long")).collect())
