@@ -2,7 +2,7 @@
 
 Every document draws an exponential key at the rate of its quality weight. A source's target is met by
 complete epochs over all its documents, then by the documents of least keys, up to the word budget that
-is left. The budget becomes one threshold on (key, tie) for each source, so nothing about single
+is left. The budget becomes one threshold on (key, tie, row) for each source, so nothing about single
 documents is gathered, and the documents themselves are not shuffled.
 """
 
@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from lodestrata.operators.ordered import running_sums
+
+from .shared import materialize, quoted
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -43,89 +45,103 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     Sources by code point, null last, take the weights in turn. They share `share` of all words by weight; a
     target stops at `most` times its source's size and the excess is shared again, until none is above. With the
     sources in order of size by weight, those that stop come first, and the level of the others follows from sums.
+    Places and sums are taken by ranges, so the sources, which may be as many as hosts, never meet in one task.
     """
     each = F.array(*map(F.lit, weights))
-    ranked = sizes.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn("weight", F.element_at(each, F.pmod(F.col("nth") - 1, F.lit(len(weights))).cast("int") + 1))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "nth")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = running_sums(sizes.withColumn("null_last", F.col("source").isNull()), ["null_last", "source"], {"nth": F.lit(1)})
+    ranked = ranked.withColumn("weight", F.element_at(each, F.pmod(F.col("nth"), F.lit(len(weights))).cast("int") + 1))
+    ranked = ranked.withColumn("ratio", F.col("source_size") / F.col("weight"))
+    ranked = materialize(running_sums(ranked, ["ratio", "nth"], {"sizes_before": F.col("source_size"), "weights_before": F.col("weight")}), "mix-sources")
+    whole = F.broadcast(ranked.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights")))  # one row
     cap = F.col("source_size") * F.lit(most)
-    level = (F.sum("source_size").over(Window.partitionBy()) * F.lit(share) - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * F.lit(most)) / F.sum("weight").over(after)
-    ranked = ranked.withColumn("level", level).withColumn("full", cap <= F.col("level") * F.col("weight"))
+    level = (F.col("all_sizes") * F.lit(share) - F.col("sizes_before") * F.lit(most)) / (F.col("all_weights") - F.col("weights_before"))
+    ranked = ranked.crossJoin(whole).withColumn("level", level).withColumn("full", cap <= F.col("level") * F.col("weight"))
     # The level of the first source that does not stop holds for all such.
-    rest = F.min(F.when(~F.col("full"), F.struct((F.col("source_size") / F.col("weight")).alias("ratio"), "nth", "level")))
-    ranked = ranked.withColumn("level", rest.over(Window.partitionBy())["level"])
-    return ranked.select(*sizes.columns, "weight", F.when(F.col("full"), cap).otherwise(F.col("level") * F.col("weight")).cast("double").alias("target"))
+    rest = ranked.agg(F.min(F.when(~F.col("full"), F.struct("ratio", "nth", "level")))["level"].alias("rest"))  # one row
+    ranked = ranked.crossJoin(F.broadcast(rest))
+    return ranked.select(*sizes.columns, "weight", F.when(F.col("full"), cap).otherwise(F.col("rest") * F.col("weight")).cast("double").alias("target"))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None) -> DataFrame:
-    """The documents' columns in `row`, with source, size, key and tie."""
-    text = F.col(text_col)
-    draw = F.xxhash64(F.lit(seed), F.col(id_col), text)
+def _keyed(docs: DataFrame, own: list[str], id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None) -> DataFrame:
+    """Written once: the documents' columns `own` as c0, c1 and so on, with source_key, source, size, key, tie and row, a number of the row."""
+    named = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(own)), *(F.col(quoted(c)).alias(a) for a, c in (("id", id_col), ("text", text_col), ("source", source_col))))
+    text = F.col("text")
+    draw = F.xxhash64(F.lit(seed), "id", text)
     uniform = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), uniform.alias("u"), F.xxhash64(F.lit(seed + 1), F.col(id_col), text).alias("tie"), text.alias("text"))
-    w = weight if weight is not None else quality_weight(F.col("text"), F.col("size"))
-    return sized.select("row", "source", "size", (-F.log("u") / w).alias("key"), "tie")
+    sized = named.withColumns({"source": F.col("source").cast("string"), "size": word_count(text), "u": uniform, "tie": F.xxhash64(F.lit(seed + 1), "id", text)})
+    w = weight if weight is not None else quality_weight(text, F.col("size"))
+    # Null sources join like others.
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    columns = [f"c{i}" for i in range(len(own))]
+    keyed = sized.select(*columns, name.alias("source_key"), "source", "size", (-F.log("u") / w).alias("key"), "tie", F.monotonically_increasing_id().alias("row"))
+    return materialize(keyed, "mix-keys")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weight: Column | None = None) -> DataFrame:
-    """The documents' columns without the text, with size, source_size, target, epochs, selected, taken.
+    """The documents' columns without the text, with size, source_size, target, epochs, selected, taken in place of columns of these names.
 
     size: words `[^\\x20\\x09-\\x0D]+` (null text: 0). A document is taken in every complete epoch of its source,
     and once more if it is among the least keys that fill the rest of the target; the last one taken is that at
     whose middle the budget ends, so a source is off its target by half a document at most. Draws depend on the
-    seed, id and text only, so reruns agree; rows that repeat id and text share a draw and are taken alike. A null
-    source is a source, a null id is an id like others. Further columns are passed on; an empty table gives an
-    empty one. `weight` replaces the quality weight, as a positive column over size and text.
+    seed, id and text only, so reruns agree; rows that repeat id and text share a draw, and where the budget ends
+    among them as many are taken as it holds, which of these equal rows does not matter. A null source is a source,
+    a null id is an id like others. Further columns are passed on; an empty table gives an empty one. `weight`
+    replaces the quality weight, as a positive column over size and text.
     """
-    keyed = _keyed(docs.select(*docs.columns), id_col, text_col, source_col, seed, weight)
-    limits = source_limits(keyed.select("source", "size", "key", "tie"))
-    own = [c for c in docs.columns if c != text_col]
-    return _taken(keyed, limits).select(*(F.col("row")[c].alias(c) for c in own), "size", "source_size", "target", "epochs", "selected", "taken")
+    added = ["size", "source_size", "target", "epochs", "selected", "taken"]
+    own = [c for c in docs.columns if c != text_col and c.lower() not in added]
+    keyed = _keyed(docs, own, id_col, text_col, source_col, seed, weight)
+    return _taken(keyed, source_limits(keyed)).select(*(f"c{i}" for i in range(len(own))), *added).toDF(*own, *added)
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weight: Column | None = None) -> DataFrame:
     """The mix itself: the documents' columns, each row as often as it is taken (see `mix_sources`); rows without words do not appear."""
-    keyed = _keyed(docs, id_col, text_col, source_col, seed, weight)
-    limits = source_limits(keyed.select("source", "size", "key", "tie"))
+    own = docs.columns
+    keyed = _keyed(docs, own, id_col, text_col, source_col, seed, weight)
     times = F.when(F.col("size") > 0, F.col("epochs") + F.col("selected").cast("long")).otherwise(F.lit(0)).cast("int")
-    copies = _taken(keyed, limits).withColumn("times", times).where("times > 0")
-    return copies.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    copies = _taken(keyed, source_limits(keyed)).withColumn("times", times).where("times > 0")
+    columns = [f"c{i}" for i in range(len(own))]
+    return copies.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).select(*columns).toDF(*own)
 
 
 def source_limits(keyed: DataFrame) -> DataFrame:
-    """For each source of (source, size, key, tie): source_key, source_size, target, epochs and the last (key, tie) that is selected."""
-    bucket = F.floor(F.col("key") * BUCKETS).alias("bucket")
-    # Null sources join like others.
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key")
-    meta = materialize(keyed.select("source", name, "size", "key", "tie", bucket), "mix-keys")
+    """For each source of (source_key, source, size, key, tie, row): source_key, source_size, target, epochs and the last (key, tie, row) that is selected."""
+    meta = keyed.select("source_key", "source", "size", "key", "tie", "row", F.floor(F.col("key") * BUCKETS).alias("bucket"))
     sizes = meta.groupBy("source", "source_key").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = materialize(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
-
-    sums = meta.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
-    up_to = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
     small = plan.count() <= BROADCAST_SOURCES
 
     def sided(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    crossed = sums.join(sided(plan.select("source_key", "rest")), "source_key").where("before <= rest AND rest <= before + words")
-    crossed = materialize(crossed.groupBy("source_key").agg(F.max_by(F.struct("bucket", "before", "rest"), "bucket").alias("at")).select("source_key", "at.*"), "mix-crossed")
-    inside = meta.join(sided(crossed), ["source_key", "bucket"])
-    upto = Window.partitionBy("source_key").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One step after another narrows down where the budget ends: a bucket of keys, a (key, tie) in it, and, if several
+    # rows share that one, a task's rows and a row of them. Each step looks at sums of the one before.
+    def crossed(rows: DataFrame, by: str, before: DataFrame) -> DataFrame:
+        """For each source the last value of `by` that begins within the budget: source_key, by, before (words up to it), rest."""
+        sums = rows.groupBy("source_key", by).agg(F.sum("size").alias("words"))
+        up_to = Window.partitionBy("source_key").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("within", F.coalesce(F.sum("words").over(up_to), F.lit(0))).join(sided(before), "source_key")
+        sums = sums.withColumn("reached", F.col("before") + F.col("within")).where("reached <= rest")
+        found = sums.groupBy("source_key").agg(F.max_by(F.struct(by, F.col("reached").alias("before"), "rest"), by).alias("at"))
+        return materialize(found.select("source_key", "at.*"), "mix-crossed")
+
+    meta = meta.withColumns({"draw": F.struct("key", "tie"), "part": F.shiftrightunsigned("row", 33)})
+    state = plan.where("rest > 0").select("source_key", F.lit(0).cast("long").alias("before"), "rest")
+    for by in ("bucket", "draw", "part"):
+        state = crossed(meta, by, state.select("source_key", "before", "rest"))
+        meta = meta.join(sided(state.select("source_key", by)), ["source_key", by])
+    upto = Window.partitionBy("source_key").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.col("before") + F.sum("size").over(upto) - F.col("size") / 2
-    picked = inside.withColumn("middle", middle).where("middle <= rest").groupBy("source_key").agg(F.max(F.struct("key", "tie")).alias("last"))
-    floor = F.struct((F.col("bucket") / BUCKETS).alias("key"), F.lit(-(1 << 63)).alias("tie"))
-    limit = crossed.join(picked, "source_key", "left").select("source_key", F.coalesce("last", floor).alias("last"))
-    return materialize(plan.join(limit, "source_key", "left").select("source_key", "source_size", "target", "epochs", "last"), "mix-limits")
+    inside = meta.join(sided(state.select("source_key", "before", "rest")), "source_key").withColumn("middle", middle)
+    last = F.max(F.when(F.col("middle") <= F.col("rest"), F.col("row")))
+    # If not even the first of these rows is taken, those before it are.
+    end = inside.groupBy("source_key").agg(F.struct(F.first("key").alias("key"), F.first("tie").alias("tie"), F.coalesce(last, F.min("row") - 1).alias("row")).alias("last"))
+    return materialize(plan.join(end, "source_key", "left").select("source_key", "source_size", "target", "epochs", "last"), "mix-limits")
 
 
 def _taken(keyed: DataFrame, limits: DataFrame) -> DataFrame:
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     small = limits.count() <= BROADCAST_SOURCES
-    joined = keyed.withColumn("source_key", name).join(F.broadcast(limits) if small else limits, "source_key")
-    joined = joined.withColumn("selected", F.coalesce(F.struct("key", "tie") <= F.col("last"), F.lit(False)))
+    joined = keyed.join(F.broadcast(limits) if small else limits, "source_key")
+    joined = joined.withColumn("selected", F.coalesce(F.struct("key", "tie", "row") <= F.col("last"), F.lit(False)))
     return joined.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("selected").cast("long")))

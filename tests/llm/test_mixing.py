@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm.mixing import MAX_EPOCHS, SHARE, WEIGHTS, mix_sources, mixed_rows, targets
 
@@ -61,6 +62,26 @@ def test_mix(spark):
     assert mixed.count() == sum(r.taken // r["size"] for r in first if r["size"])
 
 
+def test_repeated_rows_meet_the_target(spark):
+    rows = [(i, "a b c d e f g h i", "s") for i in range(1000)] + [(5000, "a b c d e f g h i", "s")] * 1000 + [(i, "w " * 9, "t") for i in range(6000, 6400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for source, size in (("s", 18000), ("t", 3600)):
+        found = mix_sources(docs).where(F.col("source") == source).agg(F.sum("taken"), F.max("target"), F.max("source_size"), F.count("*")).first()
+        assert found[2] == size and abs(found[0] - found[1]) <= 5
+    assert mixed_rows(docs).count() == mix_sources(docs).agg(F.sum(F.col("taken") / 9)).first()[0]
+    equal = spark.createDataFrame([(1, "x y", "s")] * 101 + [(2, "z", "t")] * 500, "doc_id long, text string, source string").repartition(5)
+    taken = {r.source: (r.a, r.b) for r in mix_sources(equal).groupBy("source").agg(F.sum("taken").alias("a"), F.max("target").alias("b")).collect()}
+    assert all(abs(a - b) <= 1 for a, b in taken.values())
+
+
+def test_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "x y", "s", 9, "d"), (2, "z", "t", 8, "e")], "doc_id long, text string, source string, `Size` int, `a.b` string")
+    got = mix_sources(docs)
+    assert got.columns == ["doc_id", "source", "a.b", "size", "source_size", "target", "epochs", "selected", "taken"]
+    assert {r["a.b"]: r["size"] for r in got.collect()} == {"d": 2, "e": 1}
+    assert mixed_rows(docs).columns == docs.columns
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_sources(empty).collect() == [] and mixed_rows(empty).collect() == []
