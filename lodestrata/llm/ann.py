@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import hash_sample, materialize
+from .shared import hash_sample, materialize, quoted
 
-#: The lists are fitted, and the number of probes is chosen, on at most this many vectors.
+#: The lists are fitted, and the number of probes is chosen, on a sample: SAMPLE vectors, or SAMPLE_PER_LIST for each
+#: list that the table wants if that is more, but SAMPLE_BYTES (single precision) at most.
 SAMPLE = 20_000
-MAX_LISTS = 4096
+SAMPLE_PER_LIST = 32
+SAMPLE_BYTES = 128 << 20
 #: Probes are as many as find this share of the true neighbours of sample vectors within the sample.
 TARGET_RECALL = 0.97
 #: Index rows and queries that meet in one task.
@@ -31,6 +33,7 @@ CHUNK_QUERIES = 4096
 DEVIATIONS = 3.0
 #: Ends of the column blocks, as shares of all dimensions.
 BLOCK_ENDS = (0.25, 0.5, 0.75, 1.0)
+_STRIP_VALUES = 1 << 22
 _FIRST_ROWS = 256
 _QUERY_STRIP = 64
 
@@ -45,9 +48,24 @@ class Lists:
     def rotated(self, vectors: np.ndarray) -> np.ndarray:
         return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.rotation
 
+    def own(self, rotated: np.ndarray) -> np.ndarray:
+        """The list of each rotated vector, in strips of bounded memory."""
+        step = max(1, _STRIP_VALUES // max(1, len(self.centres)))
+        parts = [np.argmax(rotated[i : i + step] @ self.centres.T, axis=1) for i in range(0, len(rotated), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def wanted_lists(n: int) -> int:
+    """Lists for a table of `n` vectors: they hold about 2 * sqrt(n) each, so both lists and what is in them grow with the table."""
+    return max(1, int(np.sqrt(n) / 2))
+
+
+def sample_size(n: int, dims: int) -> int:
+    return min(max(SAMPLE, SAMPLE_PER_LIST * wanted_lists(n)), max(1, SAMPLE_BYTES // (4 * max(1, dims))))
+
 
 def usable(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and double vectors of the rows that are not null, of `dims` components, all finite, and not zero."""
+    """Row numbers and double vectors, scaled by a power of two each, of the rows that are not null, of `dims` components, all finite, and not zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)
@@ -58,10 +76,11 @@ def usable(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.nd
         return rows, np.zeros((0, dims))
     flat = column.take(pa.array(rows)).flatten().cast(pa.float64())
     vectors = flat.to_numpy(zero_copy_only=False).reshape(len(rows), dims)
-    with np.errstate(over="ignore", invalid="ignore"):
-        norms = np.linalg.norm(vectors, axis=1)
-    good = np.isfinite(norms) & (norms > 0)
-    return rows[good], vectors[good]
+    largest = np.abs(vectors).max(axis=1)
+    good = np.isfinite(largest) & (largest > 0)  # a null or nan component makes the largest one nan
+    # By a power of two, which changes no cosine, so that squares neither overflow nor vanish.
+    _, exponent = np.frexp(largest[good])
+    return rows[good], np.ldexp(vectors[good], -exponent[:, None])
 
 
 def fit_lists(vectors: np.ndarray, n: int, k: int, seed: int = 11, rounds: int = 8) -> Lists:
@@ -71,23 +90,29 @@ def fit_lists(vectors: np.ndarray, n: int, k: int, seed: int = 11, rounds: int =
     rotation = np.linalg.qr(rng.normal(size=(dims, dims)))[0] if dims else np.zeros((0, 0))
     lists = Lists(dims, rotation, np.zeros((0, dims)), 1)
     x = lists.rotated(vectors) if len(vectors) else np.zeros((0, dims))
-    count = int(min(MAX_LISTS, max(1, np.sqrt(n) / 2), max(1, len(x) // 32)))
+    count = int(min(wanted_lists(n), max(1, len(x) // SAMPLE_PER_LIST)))
     if count == 1:
         return Lists(dims, rotation, np.zeros((1, dims)), 1)
     centres = x[rng.choice(len(x), count, replace=False)]
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T, axis=1)
-        for c in range(count):
-            members = x[own == c]
-            centre = members.sum(axis=0) if len(members) else x[rng.integers(len(x))]
-            centres[c] = centre / max(np.linalg.norm(centre), 1e-12)
-    own = np.argmax(x @ centres.T, axis=1)
+        own = Lists(dims, rotation, centres, 1).own(x)
+        order = np.argsort(own, kind="stable")
+        held = np.bincount(own, minlength=count)
+        first = np.cumsum(held) - held
+        sums = np.add.reduceat(x[order], np.minimum(first, len(x) - 1), axis=0)
+        sums[held == 0] = x[rng.integers(len(x), size=int((held == 0).sum()))]
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    own = Lists(dims, rotation, centres, 1).own(x)
     some = rng.choice(len(x), min(200, len(x)), replace=False)
-    near = x[some] @ x.T
-    near[np.arange(len(some)), some] = -np.inf
-    best = np.argpartition(-near, min(k, len(x) - 1), axis=1)[:, :k]
-    ranks = np.argsort(np.argsort(-(x[some] @ centres.T), axis=1), axis=1)
-    needed = np.sort(np.take_along_axis(ranks, own[best], axis=1).ravel()) + 1
+    needed = []
+    for i in some:  # one at a time, so that memory does not grow with the sample's square
+        near = x @ x[i]
+        near[i] = -np.inf
+        best = np.argpartition(-near, min(k, len(x) - 1))[:k]
+        rank = np.empty(count, dtype=np.int64)
+        rank[np.argsort(-(centres @ x[i]), kind="stable")] = np.arange(count)
+        needed.extend(rank[own[best]] + 1)
+    needed.sort()
     probes = int(needed[min(len(needed) - 1, int(np.ceil(TARGET_RECALL * len(needed))) - 1)])
     return Lists(dims, rotation, centres, probes)
 
@@ -145,13 +170,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     components take no part, nor do rows without an id; rows that repeat an id are one vector where they are equal.
     A query that finds fewer than `k` in its probes has all lists probed until there are enough candidates. Other
     columns are not read; an empty table gives an empty one. Every usable row is indexed. Lists are dealt out in
-    chunks by hash of the id, and queries in blocks, so neither a hot list nor many copies meet in one task.
+    chunks by hash of the id, and the queries that probe a list in blocks, so neither a hot list nor many copies meet
+    in one task, and a list is read once for each of its own blocks of queries.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType
-    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
-    n = source.count()
-    _, sample = usable(hash_sample(source.select("id", "v"), "id", SAMPLE, n).select("v").toArrow().column(0))
+    source = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
+    n, longest = source.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    _, sample = usable(hash_sample(source.select("id", "v"), "id", sample_size(n, longest), n).select(F.col("v")).toArrow().column(0))
     lists = spark.sparkContext.broadcast(fit_lists(sample, n, k))
     dims = lists.value.dims
 
@@ -161,39 +187,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             rows, found = usable(batch.column(1), dims)
             if len(rows):
                 kept = batch.take(pa.array(rows))
-                place = np.argmax(own.rotated(found) @ own.centres.T, axis=1).astype(np.int32)
+                place = own.own(own.rotated(found)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(place)], names=["id", "v", "q", "list"])
 
     schema = T.StructType([*source.schema.fields, T.StructField("list", T.IntegerType())])
     placed = materialize(source.mapInArrow(assign, schema), "ann-lists")
-    sizes = dict(placed.groupBy("list").count().collect())  # at most MAX_LISTS rows
-    n_queries = placed.where("q").count()
-    blocks = max(1, -(-n_queries // CHUNK_QUERIES))
+    sizes = dict(placed.groupBy("list").count().collect())  # a row for each list
     chunks = {c: -(-s // CHUNK_ROWS) for c, s in sizes.items()}
-    many = F.broadcast(spark.createDataFrame(list(chunks.items()), "list int, chunks int"))
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
-    index = placed.join(many, "list").select("id", "v", "list", chunk, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists that each query probes."""
         own, counts = lists.value, np.array([sizes.get(c, 0) for c in range(len(lists.value.centres))])
+        step = max(1, _STRIP_VALUES // len(counts))
         for batch in batches:
-            rows, found = usable(batch.column(1), dims)
-            if not len(rows):
-                continue
-            order = np.argsort(-(own.rotated(found) @ own.centres.T), axis=1, kind="stable")
-            held = np.cumsum(counts[order], axis=1)
-            wanted = np.maximum(own.probes, 1 + (held < 8 * (k + 1)).sum(axis=1))
-            row, col = np.nonzero(np.arange(order.shape[1]) < wanted[:, None])
-            place = order[row, col].astype(np.int32)
-            row, place = row[counts[place] > 0], place[counts[place] > 0]
-            many = np.array([chunks[c] for c in place.tolist()], dtype=np.int64)
-            chunk = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
-            kept = batch.take(pa.array(rows[np.repeat(row, many)]))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:2], pa.array(np.repeat(place, many)), pa.array(chunk)], names=["id", "v", "list", "chunk"])
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                rows, found = usable(part.column(1), dims)
+                if not len(rows):
+                    continue
+                order = np.argsort(-(own.rotated(found) @ own.centres.T), axis=1, kind="stable")
+                held = np.cumsum(counts[order], axis=1)
+                wanted = np.maximum(own.probes, 1 + (held < 8 * (k + 1)).sum(axis=1))
+                row, col = np.nonzero(np.arange(order.shape[1]) < wanted[:, None])
+                place = order[row, col].astype(np.int32)
+                row, place = row[counts[place] > 0], place[counts[place] > 0]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[row])), pa.array(place)], names=["id", "list"])
 
     asked = placed.where("q").select("id", "v").dropDuplicates(["id"])
-    probe_schema = T.StructType([*source.schema.fields[:2], T.StructField("list", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
-    probes = asked.mapInArrow(probe, probe_schema).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = materialize(asked, "ann-queries")
+    probes = materialize(asked.mapInArrow(probe, "id long, list int"), "ann-probes")
+    asking = probes.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("blocks"))
+    many = spark.createDataFrame(list(chunks.items()), "list int, chunks int").join(asking, "list")
+    many = F.broadcast(materialize(many, "ann-blocks"))  # a row for each list
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
+    index = placed.join(many, "list").select("id", "v", "list", chunk, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block")
+    probes = probes.join(many, "list").select("id", "list", block, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    probes = probes.join(asked, "id").select("id", "v", "list", "chunk", "block")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import quoted
+
 #: Vocabulary files larger than this are refused: what is sent to every executor stays bounded.
 MAX_VOCABULARY_BYTES = 64 << 20
 CACHE_PIECES = 160_000
@@ -145,10 +147,14 @@ class PrefixEncoder:
     def encode(self, piece: bytes) -> list[int]:
         if not piece:
             return []
+        return self.read_whole(piece, None)
+
+    def read_whole(self, piece: bytes, last: list[int] | None) -> list[int]:
+        """Token ids of a pre-token, whose table is `last` if known; one that is a vocabulary entry is that entry, whatever merging would make of it."""
         token = self.ranks.get(piece)
-        if token is not None and self._stands_alone(token):
+        if token is not None:
             return [token]
-        return self.read(self.table(piece))
+        return self.read(self.table(piece) if last is None else last)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids; KeyError for an id outside the vocabulary."""
@@ -169,7 +175,7 @@ class Packed(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self._older.get(piece)
         if packed is None:
-            packed = pack(self.encoder.encode(piece.encode("utf-8")))
+            packed = self.fresh(piece)
         if len(piece) <= CACHED_PIECE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self._older = dict(self)
@@ -177,6 +183,9 @@ class Packed(dict):
             self[piece] = packed
         return packed
 
+    def fresh(self, piece: str) -> bytes:
+        return pack(self.encoder.encode(piece.encode("utf-8")))
+
 
 def pack(ids: list[int]) -> bytes:
     packed = array("I", ids)
@@ -193,7 +202,9 @@ class Chunks(dict):
         self._pieces, self._packed = pieces, packed
 
     def __missing__(self, chunk: str) -> bytes:
-        packed = b"".join(map(self._packed.__getitem__, self._pieces.findall(" " + chunk)))
+        found = self._pieces.findall(" " + chunk)
+        # A pre-token that is all of the chunk is held here, and not by `_packed` as well.
+        packed = self._packed.fresh(found[0]) if len(found) == 1 else b"".join(map(self._packed.__getitem__, found))
         if len(chunk) <= CACHED_PIECE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -208,12 +219,13 @@ _BROKEN_RUN = re.compile("[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029
 class Tokenizer:
     """Whole texts: pre-tokens by `pattern`, each encoded on its own.
 
-    With `space_led`, which holds for public byte-level patterns, a pre-token has a space only as its first
-    character or in a run of white space, and nothing looks behind. Then a space after a character that is no
-    white space always begins a pre-token, and texts can be cut there before the slower pattern is tried.
+    `space_led` says of the pattern, as holds for public byte-level ones, that a pre-token has a space only as its
+    first character or in a run of white space, and that nothing looks behind. Then a space after a character that is
+    no white space always begins a pre-token, and texts can be cut there before the slower pattern is tried. It
+    cannot be seen from a pattern, so it is off unless the caller knows.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, space_led: bool = True):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, space_led: bool = False):
         self.encoder = PrefixEncoder(ranks)
         self.pieces = regex.compile(pattern)
         self.space_led = space_led
@@ -263,7 +275,7 @@ class EditableEncoding:
 
     @property
     def ids(self) -> list[int]:
-        return [i for _, last in self._pieces for i in self.tokenizer.encoder.read(last)]
+        return [i for piece, last in self._pieces for i in self.tokenizer.encoder.read_whole(piece.encode("utf-8"), last)]
 
     def append(self, text: str) -> int:
         return self.replace(len(self.text), len(self.text), text)
@@ -308,15 +320,15 @@ class EditableEncoding:
         return len(made)
 
 
-_tokenizers: dict[tuple[str, str], Tokenizer] = {}
+_tokenizers: dict[tuple[str, str, bool], Tokenizer] = {}
 
 
-def tokenizer_for(content: bytes, pattern: str) -> Tokenizer:
+def tokenizer_for(content: bytes, pattern: str, space_led: bool = False) -> Tokenizer:
     """One tokenizer per process and vocabulary."""
-    key = (hashlib.sha256(content).hexdigest(), pattern)
+    key = (hashlib.sha256(content).hexdigest(), pattern, space_led)
     if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = Tokenizer(load_ranks(content), pattern)
+        _tokenizers[key] = Tokenizer(load_ranks(content), pattern, space_led)
     return _tokenizers[key]
 
 
@@ -328,13 +340,13 @@ def read_vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, space_led: bool = False) -> DataFrame:
     """Encode every whole text, then decode the ids.
 
     Returns id_col, n_tokens, ids (array of int, only if `with_ids`), ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes). A null or empty
     text has no tokens. Rows are independent: repeated rows give repeated results, an empty table gives
-    an empty one, other columns are not read. One narrow pass; nothing is shuffled.
+    an empty one, other columns are not read. One narrow pass; nothing is shuffled. `space_led`: see Tokenizer.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     id_type = docs.schema[id_col].dataType
@@ -344,7 +356,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_for(content.value, pattern)
+        tokenizer = tokenizer_for(content.value, pattern, space_led)
         for batch in batches:
             step = 256
             for at in range(0, batch.num_rows, step):
@@ -362,4 +374,4 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
                 out += [pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, T.StructType(fields))

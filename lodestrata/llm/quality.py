@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import hash_sample
+from .shared import hash_sample, quoted
 from .textblock import TextBlock, blocks, mix64, windows
 
 #: The classifier is fitted on at most this many labelled documents, those of least hash of doc_id.
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("good"))
     sample = hash_sample(sample.select(F.col(id_col).alias("label_id"), (F.col("good") > 0).cast("double").alias("good")), "label_id", max_rows)
-    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id").select(F.struct("label_id", "good").alias("row"), "text")
+    texts = docs.select(F.col(quoted(id_col)).alias("label_id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(sample), "label_id").select(F.struct("label_id", "good").alias("row"), "text")
     schema = T.StructType([texts.schema["row"], T.StructField("features", T.ArrayType(T.DoubleType()))])
     found = texts.mapInArrow(_features, schema).groupBy("row").agg(F.min("features").alias("features"))  # one of repeated rows
     rows = found.select("row.good", "features").toArrow()
@@ -230,7 +230,7 @@ def judge(docs: DataFrame, trees: Trees | None, text_col: str = "text", keep_fro
     n = len(columns)
     shipped = docs.sparkSession.sparkContext.broadcast(trees)
     # By position, so that no name can clash.
-    numbered = docs.select(*columns, text_col).toDF(*(f"c{i}" for i in range(n)), "text")
+    numbered = docs.select(*map(quoted, columns), quoted(text_col)).toDF(*(f"c{i}" for i in range(n)), "text")
     out = T.StructType([*numbered.schema.fields[:n], *([] if only_kept else added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False, space_led=True)
 
 
 def op4_columns(docs: DataFrame) -> DataFrame:

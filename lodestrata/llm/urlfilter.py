@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize
+from .shared import materialize, quoted
 
-#: Rules in one broadcast trie. Longer lists are matched in as many passes, so a broadcast stays bounded.
+#: Rules in one broadcast trie, and characters of them (a longer rule stands alone). Longer lists are matched in as
+#: many passes, so a broadcast stays bounded.
 RULES_PER_TRIE = 200_000
-MAX_RULE_CHARS = 2048
+CHARS_PER_TRIE = 16 << 20
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -30,7 +32,7 @@ class Rule:
     @classmethod
     def parse(cls, verdict: str, text: str) -> Rule:
         host, slash, path = text.partition("/")
-        if verdict not in ("allow", "block") or not host or len(text) > MAX_RULE_CHARS:
+        if verdict not in ("allow", "block") or not host:
             raise ValueError(f"not a rule: {verdict} {text[:80]}")
         return cls(verdict, host.translate(_LOWER), slash + path)
 
@@ -63,7 +65,8 @@ class _Node:
 class UrlTrie:
     """Rules by reversed host labels, then whole path segments, then the open last segment.
 
-    More host labels come before a longer path. Of two rules with equal host and path, block wins.
+    The longest rule that fits wins, by characters of host and path; of equally long ones the longer host, and of two
+    rules with equal host and path, block.
     """
 
     def __init__(self, rules: Sequence[Rule]):
@@ -100,14 +103,39 @@ class UrlTrie:
             if node is None:
                 break
             found = self._by_path(node, segments) if node.tails or node.segments else None
-            best = found or best
+            if found is not None and _outranks(found, best):
+                best = found
         return best
 
 
 def _outranks(a: Rule, b: Rule | None) -> bool:
     if b is None:
         return True
-    return (a.host.count("."), len(a.path), a.verdict == "block") > (b.host.count("."), len(b.path), b.verdict == "block")
+    return (len(a.host) + len(a.path), len(a.host), a.verdict == "block") > (len(b.host) + len(b.path), len(b.host), b.verdict == "block")
+
+
+_tries: dict[bytes, UrlTrie] = {}
+
+
+def _trie(digest: bytes, rules: Sequence[Rule]) -> UrlTrie:
+    """One trie per process and set of rules."""
+    if digest not in _tries:
+        _tries.clear()
+        _tries[digest] = UrlTrie(rules)
+    return _tries[digest]
+
+
+def _parts(rules: Sequence[Rule], most: int) -> list[list[Rule]]:
+    """The rules in runs of at most `most` rules and CHARS_PER_TRIE characters."""
+    parts, room = [[]], CHARS_PER_TRIE
+    for rule in rules:
+        size = len(rule.host) + len(rule.path)
+        if parts[-1] and (len(parts[-1]) >= most or size > room):
+            parts.append([])
+            room = CHARS_PER_TRIE
+        parts[-1].append(rule)
+        room -= size
+    return parts
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", rules_per_trie: int = RULES_PER_TRIE) -> DataFrame:
@@ -121,48 +149,40 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     if default not in ("allow", "block"):
         raise ValueError(f"not a verdict: {default}")
     context = pages.sparkSession.sparkContext
-    parts = [rules[i : i + rules_per_trie] for i in range(0, len(rules), rules_per_trie)] or [()]
-    schema = T.StructType(
-        [T.StructField(id_col, pages.schema[id_col].dataType)]
-        + [T.StructField(name, T.StringType()) for name in ("url", "rule_verdict", "rule_host", "rule_path")]
-    )
+    parts = _parts(rules, rules_per_trie)
+    names = ("host", "path", "rule_verdict", "rule_host", "rule_path")
+    schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType)] + [T.StructField(name, T.StringType()) for name in names])
 
     def matcher(part: Sequence[Rule]):
+        digest = hashlib.sha256(repr([(r.verdict, r.host, r.path) for r in part]).encode()).digest()
         shipped = context.broadcast(tuple(part))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = UrlTrie(shipped.value)
+            trie = _trie(digest, shipped.value)
             for batch in batches:
                 rows = []
-                for url, verdict, host, path in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                    best = Rule(verdict, host, path) if verdict else None
-                    found = trie.match(*split_url(url))
-                    if found is not None and _outranks(found, best):
-                        best = found
-                    rows.append((best.verdict, best.host, best.path) if best else (None, None, None))
+                for host, path, *known in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                    found = trie.match(host, path)
+                    if found is not None and (known[0] is None or _outranks(found, Rule(*known))):
+                        known = (found.verdict, found.host, found.path)
+                    rows.append(known)
                 new = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *new], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=schema.names)
 
         return run
 
+    url = F.col(quoted(url_col))
+    rest = F.substring_index(F.substring_index(url.substr(F.locate("://", url) + 3, F.length(url)), "#", 1), "?", 1)
+    known = F.coalesce(F.locate("://", url), F.lit(0)) > 0
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    slash = F.locate("/", F.col("rest"))
+    path = F.when(slash > 0, F.expr("substring(rest, locate('/', rest))")).otherwise(F.lit(""))
     empty = F.lit(None).cast("string")
-    judged = pages.select(F.col(id_col), F.col(url_col).alias("url"), empty.alias("rule_verdict"), empty.alias("rule_host"), empty.alias("rule_path"))
+    judged = pages.select(F.col(quoted(id_col)).alias("id"), F.when(known, rest).otherwise(F.lit("")).alias("rest"))
+    judged = judged.select("id", F.translate(F.substring_index("rest", "/", 1), upper, lower).alias("host"), path.alias("path"), *(empty.alias(name) for name in names[2:]))
     for i, part in enumerate(parts):
         if i:
             judged = materialize(judged, "url-pass")
         judged = judged.mapInArrow(matcher(part), schema)
-
-    rest = F.substring_index(F.substring_index(F.expr("substring(url, locate('://', url) + 3)"), "#", 1), "?", 1)
-    known = F.coalesce(F.locate("://", F.col("url")), F.lit(0)) > 0
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    slash = F.locate("/", F.col("rest"))
-    return (
-        judged.withColumn("rest", F.when(known, rest).otherwise(F.lit("")))
-        .select(
-            F.col(id_col),
-            F.translate(F.substring_index("rest", "/", 1), upper, lower).alias("host"),
-            F.when(slash > 0, F.expr("substring(rest, locate('/', rest))")).otherwise(F.lit("")).alias("path"),
-            F.when(F.col("rule_verdict").isNotNull(), F.concat("rule_host", "rule_path")).alias("rule"),
-            F.coalesce("rule_verdict", F.lit(default)).alias("verdict"),
-        )
-    )
+    rule = F.when(F.col("rule_verdict").isNotNull(), F.concat("rule_host", "rule_path"))
+    return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))

@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import quoted
+
 CACHE_WORDS = 400_000
 CACHED_WORD_BYTES = 64
+#: Vocabularies beyond this are refused: what is sent to every executor stays bounded. Public ones have some 300,000 at most.
 MAX_PIECES = 2_000_000
 
 
@@ -153,4 +156,4 @@ def count_pieces(docs: DataFrame, initial: list[bytes], following: list[bytes],
                 out[i] = len(words), int(counts.sum()) + 2 * unknown, unknown
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, j]) for j in range(3))], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, schema)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.llm import ann
 from lodestrata.llm.ann import fit_lists, nearest, nearest_in_chunk
 
 
@@ -43,6 +44,40 @@ def test_recall_and_exact_scores(spark):
     assert [i for i, _ in got[copied]] == [i for i, _ in want[copied]]
 
 
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_recall_with_many_blocks_of_queries(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "CHUNK_QUERIES", 16)
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 64)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5000, 24))
+    if kind == "clustered":
+        x = 0.3 * x + rng.normal(size=(40, 24))[rng.integers(40, size=5000)]
+    x = x.astype(np.float32)
+    ids = np.arange(5000)
+    got = run(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x)])
+    want = brute(ids, x.astype(np.float64), np.flatnonzero(ids % 50 == 0))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    lists = fit_lists(x.astype(np.float64), 5000, 5)
+    assert len(lists.centres) == ann.wanted_lists(5000)
+    if kind == "clustered":
+        assert lists.probes <= len(lists.centres) // 3  # lists prune where vectors cluster
+
+
+def test_lists_and_sample_grow_with_the_table():
+    assert [ann.wanted_lists(n) for n in (1, 10_000, 10**8, 10**10)] == [1, 50, 5000, 50_000]
+    assert ann.sample_size(10**5, 64) == ann.SAMPLE and ann.sample_size(10**8, 64) == 160_000
+    assert ann.sample_size(10**12, 768) * 768 * 4 <= ann.SAMPLE_BYTES
+
+
+def test_very_large_and_very_small_vectors_take_part(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [3.0, 4.0]), (50, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(df, F.col("vec_id") % 50 == 0).collect()}
+    assert got[0, 1] == pytest.approx(3 / 10**0.5) and got[0, 2] == pytest.approx(7 / 50**0.5) and got[0, 50] == pytest.approx(2**-0.5)
+    assert got[50, 1] == pytest.approx(5**-0.5) and len(got) == 6
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [2.0, 2.0], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [None, 1.0], 0), (8, [1.0], 0), (None, [1.0, 0.0], 0), (50, [0.0, 0.0], 0), (1, [1.0, 1.0], 0)]

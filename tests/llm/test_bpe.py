@@ -18,7 +18,7 @@ def ranks():
 
 @pytest.fixture(scope="module")
 def tokenizer(ranks):
-    return Tokenizer(ranks, public_tokenizers.PATTERN)
+    return Tokenizer(ranks, public_tokenizers.PATTERN, space_led=True)
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,14 @@ def test_encoding_matches_tiktoken(tokenizer, reference):
         assert tokenizer.decode_packed(tokenizer.encode_packed(text)) == text.encode()
 
 
+def test_an_entry_that_merging_does_not_make_is_returned_whole():
+    # "abc" is an entry, but no merge leads to it.
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"xy": 257}
+    own, plain = Tokenizer(ranks, r"\S+|\s+"), tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "abc abc", "xabc", "abcxy", "xy"):
+        assert own.encode(text) == plain.encode_ordinary(text) == EditableEncoding(own, text).ids
+
+
 def test_every_prefix_of_a_piece_reads_from_one_table(tokenizer):
     piece = "internationalisierungsmaßnahmen".encode()
     table = tokenizer.encoder.table(piece)

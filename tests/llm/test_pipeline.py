@@ -69,6 +69,21 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     assert docs.collect() == []
 
 
+def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["n_lines", "n_dropped", "gone_id", "size", "target", "row", "key", "c0", "id", "a.b", "score", "kept", "n_words"]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 5, *range(100, 100 + len(names))) for i in range(4)]
+    rows += [rows[0], (None, rows[1][1], *rows[1][2:]), (7, None, *rows[1][2:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        found = docs.collect()
+        assert {r[5:] for r in found} == {tuple(range(100, 100 + len(names)))}, name
+        assert {0, 2, 3} <= {r.doc_id for r in found} or name == "mix sources"
+    assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == len(found)
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
