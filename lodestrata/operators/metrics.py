@@ -28,6 +28,13 @@ def _by(df: DataFrame, run: str | None) -> tuple[DataFrame, str]:
     return (df, run) if run else (df.withColumn("__run", F.lit(0)), "__run")
 
 
+def _one_row(df: DataFrame, zeros: dict[str, Column]) -> DataFrame:
+    """The one row of `df`, or a row of `zeros` if it has none."""
+    nothing = df.sparkSession.range(1).select(F.lit(True).alias("__only"))
+    found = nothing.join(F.broadcast(df.withColumn("__only", F.lit(True)).withColumn("__there", F.lit(True))), "__only", "left")  # one row each
+    return found.select(*(F.when(F.col("__there"), F.col(c)).otherwise(zeros[c]).alias(c) if c in zeros else F.col(c) for c in df.columns))
+
+
 def node_counts(nodes: DataFrame, accepted: DataFrame, run: str) -> DataFrame:
     """Accepted samples of every eligible node, zeros included: run, node id, depth, cnt. Samples are summed before the join."""
     counts = accepted.groupBy(run, "taxonomy_node_id").agg(F.count("*").alias("cnt"))
@@ -57,21 +64,27 @@ def depth_profile(counts: DataFrame, run: str) -> DataFrame:
 def coverage(nodes: DataFrame, accepted: DataFrame, run: str | None = None) -> DataFrame:
     """eligible_nodes, covered_nodes, node_coverage_ratio, depth_coverage_profile, coverage_balance, min_depth_coverage; a row for each run.
 
-    Ids are unique in a run's nodes. Without accepted samples all counts are equal, so the balance is 1.
+    Nodes that repeat an id count once, but by row in the depth profile. Without accepted samples all counts are equal, so the balance is 1. Without a
+    `run` there is always one row; without nodes it has zeros, an empty profile and a balance of 1.
     """
     nodes, by = _by(nodes, run)
     accepted, _ = _by(accepted, run)
     counts = node_counts(nodes, accepted, by)
     profile = depth_profile(counts, by)
+    once = counts.groupBy(by, "taxonomy_node_id").agg(F.max("cnt").alias("cnt"))
+    ids = once.groupBy(by).agg(F.count("*").alias("eligible_nodes"), F.count_if(F.col("cnt") > 0).alias("covered_nodes"))
     whole = profile.groupBy(by).agg(
-        F.sum("total").alias("eligible_nodes"), F.sum("covered").alias("covered_nodes"), F.min("ratio").alias("min_depth_coverage"),
+        F.min("ratio").alias("min_depth_coverage"),
         F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ratio"))), lambda e: F.struct(e["depth"].cast("string"), e["ratio"]))).alias("depth_coverage_profile"),
     )
     balance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("gini"))).alias("coverage_balance")
-    out = whole.join(gini(counts, by), by).select(
+    out = whole.join(ids, by).join(gini(once, by), by).select(
         by, "eligible_nodes", "covered_nodes", safe_ratio(F.col("covered_nodes"), F.col("eligible_nodes")).alias("node_coverage_ratio"), "depth_coverage_profile", balance, "min_depth_coverage"
     )
-    return out if run else out.drop("__run")
+    if run:
+        return out
+    zero, none = F.lit(0.0), F.create_map().cast("map<string,double>")
+    return _one_row(out.drop("__run"), {"eligible_nodes": F.lit(0).cast("long"), "covered_nodes": F.lit(0).cast("long"), "node_coverage_ratio": zero, "depth_coverage_profile": none, "coverage_balance": F.lit(1.0), "min_depth_coverage": zero})
 
 
 def percentiles(score: Column) -> Column:
@@ -83,6 +96,7 @@ def complexity(scored: DataFrame, baseline: DataFrame, run: str | None = None) -
     """calibrated_score_distribution, complexity_shift, complexification_precision, complexification_pairs_evaluated.
 
     `scored` has score and is_successful, `baseline` has score. The shift is median minus median, 0 if either is empty.
+    Without a `run` there is always one row, of zeros if nothing is scored.
     """
     scored, by = _by(scored, run)
     own = scored.groupBy(by).agg(
@@ -92,7 +106,11 @@ def complexity(scored: DataFrame, baseline: DataFrame, run: str | None = None) -
     base = baseline.agg(F.median("score").alias("base"))  # one row
     shift = F.coalesce(F.col("own") - F.col("base"), F.lit(0.0)).alias("complexity_shift")
     out = own.crossJoin(F.broadcast(base)).select(by, "calibrated_score_distribution", shift, "complexification_precision", "complexification_pairs_evaluated")
-    return out if run else out.drop("__run")
+    if run:
+        return out
+    zero = F.lit(0.0)
+    none = F.struct(zero.alias("p25"), zero.alias("p50"), zero.alias("p75"))
+    return _one_row(out.drop("__run"), {"calibrated_score_distribution": none, "complexity_shift": zero, "complexification_precision": zero, "complexification_pairs_evaluated": F.lit(0).cast("long")})
 
 
 def quality(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
