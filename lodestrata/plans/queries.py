@@ -88,7 +88,7 @@ _OVERLAP = "CASE WHEN least(len({0}), len({1})) = 0 THEN 0.0 ELSE len(list_inter
 
 @query(f"""
     WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS a FROM documents), b AS (SELECT item_id, {_TOKENS.format('text')} AS b FROM benchmark)
-    SELECT doc_id, item_id, round({_OVERLAP.format('a', 'b')}, 9) AS overlap FROM d JOIN b ON item_id = doc_id % 40
+    SELECT doc_id, item_id, round({_OVERLAP.format('a', 'b')}, 9) AS overlap FROM d JOIN b ON len(list_intersect(a, b)) > 0
 """)
 def token_overlap_pairs(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", tf.token_set(F.col("text")).alias("tokens"))
@@ -311,7 +311,7 @@ def disagreement_budget(spark, sf_dir):
 
 _CORPUS = """
     nodes AS (SELECT 'corpus' AS node, 0 AS depth UNION ALL SELECT DISTINCT lang, 1 FROM documents UNION ALL SELECT DISTINCT lang || '/' || source, 2 FROM documents),
-    good AS (SELECT lang || '/' || source AS node FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND doc_id % 3 = 0),
+    good AS (SELECT lang || '/' || source AS node FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0),
     cnt AS (SELECT n.node, depth, count(g.node) AS c FROM nodes n LEFT JOIN good g ON n.node = g.node GROUP BY n.node, depth),
     ranked AS (SELECT c, row_number() OVER (ORDER BY c, node) AS i FROM cnt),
     g AS (SELECT CASE WHEN sum(c) = 0 THEN 0.0 ELSE 2.0 * sum(i * c)::DOUBLE / (count(*) * sum(c)) - (count(*) + 1.0)::DOUBLE / count(*) END AS gini FROM ranked),
