@@ -50,8 +50,19 @@ def join_with_hot_keys(big: DataFrame, small: DataFrame, key: str, size: str) ->
     return big.where(is_hot).join(F.broadcast(hot), key).union(big.where(~is_hot).join(small.where(F.col(size) <= least), key))
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise. Spark's own bound is 10,000 rows,
+#: which of long texts or of shingle sets is memory without limit, in the worker and in its executor.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context, so that Python workers can import it."""
+    """Send this package to the executors, once for each Spark context, so that Python workers can import it.
+
+    A session that doesn't set the bytes of Arrow batches gets BATCH_BYTES.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_lodestrata_shipped", False):
         return
