@@ -41,11 +41,12 @@ def join_with_hot_keys(big: DataFrame, small: DataFrame, key: str, size: str) ->
     any size of the input, are known before the join, so both kinds are told apart by a filter and not by a join.
     """
     small = materialize(small, "keys")
-    least = (small.agg(F.sum(size)).first()[0] or 0) * HOT_SHARE
+    total, most = small.agg(F.sum(size), F.max(size)).first()
+    least = (total or 0) * HOT_SHARE
+    if (most or 0) <= least:
+        return big.join(small, key)
     hot = small.where(F.col(size) > least)
     keys = [r[0] for r in hot.select(key).collect()]
-    if not keys:
-        return big.join(small, key)
     is_hot = F.col(key).isin(keys)
     return big.where(is_hot).join(F.broadcast(hot), key).union(big.where(~is_hot).join(small.where(F.col(size) <= least), key))
 
