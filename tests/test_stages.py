@@ -70,6 +70,13 @@ def test_both_greedy_filters_match_a_sequential_one(spark, threshold):
         assert got.count() == len(rows)
 
 
+def test_copies_and_null_groups_keep_their_first_row(spark):
+    rows = [(None if i % 2 else "g", i, "one text of many copies" if i < 300 else "one text of many more copies") for i in range(400)]
+    got = dv.mark_kept_by_pairs(spark.createDataFrame(rows, "g string, i long, text string").repartition(4), ["g"], "i")
+    assert {r.i for r in got.where("kept").collect()} == {0, 1}
+    assert got.count() == len(rows)
+
+
 def test_low_diversity_and_lineage(spark):
     marked = dv.diversify(nodes_of(spark, "customer-support"), threshold=0.75)
     assert dv.rejections(marked).where("reason = 'low_diversity'").count() == 14
