@@ -120,12 +120,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (u, v), those linked on their full sets; `sets` has one set for each id (id, s).
+    """Of the pairs (u, v), written and without repeats, those linked on their full sets; `sets` has one set for each id (id, s).
 
     The pairs of one u are dealt out in chunks, to each of which its set goes once, so a document that is compared
     with many others makes no long task.
     """
-    pairs = materialize(pairs.distinct(), "pairs")
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK_PAIRS).cast("int").alias("chunks"))
     few, hot = many.where("chunks = 1"), materialize(many.where("chunks > 1"), "chunks")
     dealt = pairs.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "u", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"), F.lit(0))).drop("chunks")
@@ -236,6 +235,14 @@ def _links_in_clusters(large: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(found.distinct(), "links")
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, component) that further links make of those. Each counts as its star, so earlier links need not come again."""
+    if links.isEmpty():
+        return components
+    stars = components.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+    return materialize(connected_components(stars.union(links)), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept (id_col = component_id).
 
@@ -276,8 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = members.where(f"id > pivot AND {_fits('n', 'pivot_n')}").groupBy("id").agg(F.min("pivot").alias("u"))
     tried = materialize(first.select("u", F.col("id").alias("v")), "tried")
-    links = _confirmed(tried, full)
-    components = materialize(connected_components(links), "components")
+    components = materialize(connected_components(_confirmed(tried, full)), "components")
     rows = _open_buckets(members.select("bucket", "id", "n"), components)
     size, left = _left_to_compare(rows)
     for turn in range(MAX_TURNS):
@@ -285,8 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         pairs = materialize(_star(rows, turn).join(tried, ["u", "v"], "left_anti"), "turn")
         tried = tried.union(pairs)
-        links = links.union(_confirmed(pairs, full))
-        components = materialize(connected_components(links), "components")
+        components = _joined(components, _confirmed(pairs, full))
         rows = _open_buckets(rows.select("bucket", "id", "n"), components)
         before = left
         size, left = _left_to_compare(rows)
@@ -294,11 +299,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     if left:
         large = rows.where(f"c > {SMALL_BUCKET}")
-        if large.limit(1).count():
+        rest = materialize(_across(rows.where(f"c <= {SMALL_BUCKET}")).join(tried, ["u", "v"], "left_anti"), "rest")
+        links = _confirmed(rest, full)
+        if not large.isEmpty():
             links = links.union(_links_in_clusters(large, full))
-        rest = _across(rows.where(f"c <= {SMALL_BUCKET}"))
-        links = links.union(_confirmed(rest.join(tried, ["u", "v"], "left_anti"), full))
-        components = materialize(connected_components(links), "components")
+        components = _joined(components, links)
 
     named = sets.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
