@@ -77,6 +77,26 @@ def test_copies_and_null_groups_keep_their_first_row(spark):
     assert got.count() == len(rows)
 
 
+def test_blocks_give_the_rows_of_a_sequential_filter_and_few_pairs(spark, monkeypatch):
+    written = []
+
+    def counted(df, label, write=dv.materialize):
+        out = write(df, label)
+        if label == "conflicts":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(dv, "materialize", counted)
+    rng = random.Random(5)
+    rows = [(f"g{i % 5 // 3}", i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 40)))) for i in range(300)]
+    rows += [("g0", i, f"short words t{i}x t{i}y") for i in range(300, 500, 3)] + [("g0", i, "short words " + " ".join(f"t{i - 1}x t{i - 1}y u{j}" for j in range(9))) for i in range(301, 500, 3)]
+    rows += [("g0", i, "the same") for i in range(600, 640)] + [("g0", i, f"the same here {i} {i}b {i}c") for i in range(640, 680)]
+    df = spark.createDataFrame(rows, "g string, i long, text string").repartition(3)
+    got = dv.mark_kept_by_pairs(df, ["g"], "i", block_tokens=1500)
+    assert {r.i for r in got.where("kept").collect()} == sequential(rows, 0.8)
+    assert len(written) > 2 and max(written) < 1000
+
+
 def test_low_diversity_and_lineage(spark):
     marked = dv.diversify(nodes_of(spark, "customer-support"), threshold=0.75)
     assert dv.rejections(marked).where("reason = 'low_diversity'").count() == 14
