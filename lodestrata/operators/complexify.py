@@ -41,6 +41,13 @@ def with_position(df: DataFrame, order: list[str]) -> DataFrame:
     return running_sums(df, order, {"pos": F.lit(1)})
 
 
+def with_limit(df: DataFrame, order: list[str], fraction: float) -> DataFrame:
+    """Add pos and limit: the first round(n * fraction) rows, half to even, are those with pos < limit."""
+    placed = with_position(df, order)
+    limit = placed.agg(F.rint(F.count("*") * F.lit(fraction)).alias("limit"))
+    return placed.crossJoin(F.broadcast(limit))  # one row
+
+
 def complexify(samples: DataFrame, order: list[str], fraction: float = FRACTION, threshold: float = OVERLAP, strategy: str | Callable[[Column], Column] = "append_reasoning") -> DataFrame:
     """Rewrite the first round(n * fraction) rows, half to even; add is_complexified, complexity_source, source_intent.
 
@@ -51,10 +58,8 @@ def complexify(samples: DataFrame, order: list[str], fraction: float = FRACTION,
     if not 0 <= fraction <= 1:
         raise ValueError("complexify_fraction must be between 0 and 1")
     rewrite = rewriter(strategy)
-    placed = with_position(samples, order)
-    limit = placed.agg(F.rint(F.count("*") * F.lit(fraction)).alias("limit"))
     chosen = F.col("pos") < F.col("limit")
-    placed = placed.crossJoin(F.broadcast(limit)).withColumn("source_intent", F.col("text"))  # one row
+    placed = with_limit(samples, order, fraction).withColumn("source_intent", F.col("text"))
     placed = placed.withColumn("candidate_text", F.when(chosen, rewrite(F.col("text"))))
     ratio = F.when(chosen, overlap(token_set(F.col("source_intent")), token_set(F.col("candidate_text"))))
     placed = placed.withColumn("semantic_overlap_ratio", ratio)

@@ -1,10 +1,11 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from lodestrata.operators.overlap import overlap_pairs
-from lodestrata.plans.queries import QUERIES
+from lodestrata.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,15 @@ def test_items_of_any_number_and_in_passes(spark, pass_tokens):
     table = lambda sets, key: spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], f"{key} long, tokens array<string>")
     rows = overlap_pairs(table(docs, "doc_id"), table(items, "item_id"), "doc_id", "item_id", pass_tokens).collect()
     assert {(r.doc_id, r.item_id): round(r.overlap, 9) for r in rows} == brute_pairs(docs, items)
+
+
+@pytest.mark.parametrize("name", ["complexity_metrics"])
+def test_texts_without_tokens_are_hard_by_their_place(spark, tmp_path, name):
+    texts = ["ññ ñ", "some words", "!!", "", "other words", "more", None, "last"]
+    rows = [(i, text, "de" if re.search("[a-z]", text or "") else "fr", f"src{i // 2 % 2}") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        wanted = con.execute(f"SELECT {', '.join(found.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
