@@ -45,7 +45,7 @@ def test_items_of_any_number_and_in_passes(spark, pass_tokens):
     assert {(r.doc_id, r.item_id): round(r.overlap, 9) for r in rows} == brute_pairs(docs, items)
 
 
-@pytest.mark.parametrize("name", ["complexity_metrics"])
+@pytest.mark.parametrize("name", ["complexity_metrics", "complexity_shift_by_segment"])
 def test_texts_without_tokens_are_hard_by_their_place(spark, tmp_path, name):
     texts = ["ññ ñ", "some words", "!!", "", "other words", "more", None, "last"]
     rows = [(i, text, "de" if re.search("[a-z]", text or "") else "fr", f"src{i // 2 % 2}") for i, text in enumerate(texts)]
