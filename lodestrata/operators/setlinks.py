@@ -48,6 +48,21 @@ def known(words: np.ndarray, place: np.ndarray, tokens: np.ndarray, sizes: np.nd
     return Sets(place[at[there]], np.bincount(owners, minlength=len(sizes)), sizes)
 
 
+def counted(rows: Sets, owners: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For pieces of the rows, the matches of each row with each of n sets: token t is in the sets `owners[first[t]:first[t + 1]]`."""
+    lengths = first[rows.tokens + 1] - first[rows.tokens]
+    upto = np.concatenate(([0], np.cumsum(lengths)))
+    low = 0
+    while n and low < len(rows.sizes):
+        high = int(np.searchsorted(upto[rows.bounds[1:]], upto[rows.bounds[low]] + HITS, side="right"))
+        high = max(low + 1, min(high, low + max(1, CELLS // n), len(rows.sizes)))
+        part = slice(rows.bounds[low], rows.bounds[high])
+        owner = np.repeat(np.arange(high - low) * n, rows.sizes[low:high])
+        met = owners[spread(first[rows.tokens[part]], lengths[part])] + np.repeat(owner, lengths[part])
+        yield low, high, np.bincount(met, minlength=(high - low) * n).reshape(high - low, n)
+        low = high
+
+
 class Index:
     """The rarest tokens of sets (rarest first), to find the sets no larger than a row that share `threshold` of their tokens with it.
 
@@ -73,7 +88,7 @@ class Index:
 
     def links(self, rows: Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays (row, set) of all sets no larger than the row, in bounded pieces."""
-        for low, high, counts in self._counted(rows, self.rare, self.rare_first):
+        for low, high, counts in counted(rows, self.rare, self.rare_first, len(self.sets.sizes)):
             row, found = np.nonzero((counts >= self.least) & (self.sets.full <= rows.full[low:high, None]))
             yield from self._confirmed(rows.part(low, high), row, found, low, self.needed(self.sets.sizes))
 
@@ -90,7 +105,7 @@ class Index:
         keyed = np.sort((rows.owners() << 32) | rows.tokens)
         tokens = (keyed & 0xFFFFFFFF).astype(np.int32)
         some = Sets(tokens[spread(rows.bounds[able], looked)], looked, rows.full[able])
-        for low, high, counts in self._counted(some, *self.all):
+        for low, high, counts in counted(some, *self.all, len(self.sets.sizes)):
             least = (taken - slack[able])[low:high, None]
             row, found = np.nonzero((counts >= np.maximum(least, 1)) & (self.sets.full > some.full[low:high, None]))
             whole = able[low:high]
@@ -98,21 +113,6 @@ class Index:
             for r, f in self._confirmed(part, row, found, 0, None):
                 yield whole[r], f
 
-    def _counted(self, rows: Sets, owners: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """For pieces of the rows, the matches of each row with each set."""
-        n = len(self.sets.sizes)
-        lengths = first[rows.tokens + 1] - first[rows.tokens]
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        low = 0
-        while n and low < len(rows.sizes):
-            high = int(np.searchsorted(upto[rows.bounds[1:]], upto[rows.bounds[low]] + HITS, side="right"))
-            high = max(low + 1, min(high, low + max(1, CELLS // n), len(rows.sizes)))
-            part = slice(rows.bounds[low], rows.bounds[high])
-            owner = np.repeat(np.arange(high - low) * n, rows.sizes[low:high])
-            met = owners[spread(first[rows.tokens[part]], lengths[part])] + np.repeat(owner, lengths[part])
-            yield low, high, np.bincount(met, minlength=(high - low) * n).reshape(high - low, n)
-            low = high
-
     def _confirmed(self, rows: Sets, row: np.ndarray, found: np.ndarray, low: int, need: np.ndarray | None):
         """Those of the pairs that share enough tokens, by all tokens of both."""
         have = np.sort((rows.owners() << 32) | rows.tokens)

@@ -45,6 +45,12 @@ def test_items_of_any_number_and_in_passes(spark, pass_tokens):
     assert {(r.doc_id, r.item_id): round(r.overlap, 9) for r in rows} == brute_pairs(docs, items)
 
 
+def test_pairs_are_not_gathered_for_counting(spark):
+    table = lambda key: spark.createDataFrame([(i, ["a", "b"]) for i in range(50)], f"{key} long, tokens array<string>")
+    plan = overlap_pairs(table("doc_id"), table("item_id"), "doc_id", "item_id")._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "Repartition" not in plan
+
+
 @pytest.mark.parametrize("name", ["complexity_metrics", "complexity_shift_by_segment"])
 def test_texts_without_tokens_are_hard_by_their_place(spark, tmp_path, name):
     texts = ["ññ ñ", "some words", "!!", "", "other words", "more", None, "last"]
