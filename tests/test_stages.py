@@ -92,9 +92,20 @@ def test_blocks_give_the_rows_of_a_sequential_filter_and_few_pairs(spark, monkey
     rows += [("g0", i, f"short words t{i}x t{i}y") for i in range(300, 500, 3)] + [("g0", i, "short words " + " ".join(f"t{i - 1}x t{i - 1}y u{j}" for j in range(9))) for i in range(301, 500, 3)]
     rows += [("g0", i, "the same") for i in range(600, 640)] + [("g0", i, f"the same here {i} {i}b {i}c") for i in range(640, 680)]
     df = spark.createDataFrame(rows, "g string, i long, text string").repartition(3)
-    got = dv.mark_kept_by_pairs(df, ["g"], "i", block_tokens=1500)
+    got = dv.mark_kept_by_pairs(df, ["g"], "i", block_tokens=500)
     assert {r.i for r in got.where("kept").collect()} == sequential(rows, 0.8)
-    assert len(written) > 2 and max(written) < 1000
+    assert len(written) > 5 and max(written) < 1000
+
+
+def test_pairs_beyond_the_drivers_share_are_settled_the_same(spark):
+    rng = random.Random(7)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)})
+    df = spark.createDataFrame(pairs, "earlier int, later int")
+    want = dv._kept_places(df, 40)
+    kept = []
+    for i in range(40):
+        kept.append(not any(kept[a] for a, b in pairs if b == i))
+    assert want.tolist() == kept == dv._kept_places(df, 40, most=0).tolist()
 
 
 def test_low_diversity_and_lineage(spark):
